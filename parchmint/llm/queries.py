@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from parchmint.llm import packing, token_counts
+from parchmint.llm import packing, token_counts, topk, warc
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
     "op3_best_fit_packing": packing.query,
+    "op8_exact_top_k": topk.query,
+    "op10_warc": warc.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_exact_top_k": topk.ORACLE, "op10_warc": warc.ORACLE}
