@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from parchmint.llm import packing, token_counts, topk, warc
+from parchmint.llm import packing, simhash, token_counts, topk, warc
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
     "op3_best_fit_packing": packing.query,
+    "op4_simhash": simhash.query,
     "op8_exact_top_k": topk.query,
     "op10_warc": warc.query,
 }
