@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from parchmint.llm import packing, simhash, token_counts, topk, warc
+from parchmint.llm import langid, packing, secrets, simhash, token_counts, topk, warc
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
     "op3_best_fit_packing": packing.query,
     "op4_simhash": simhash.query,
+    "op5_secrets": secrets.query,
+    "op7_language_id": langid.query,
     "op8_exact_top_k": topk.query,
     "op10_warc": warc.query,
 }
 
-ORACLES: dict[str, str] = {"op8_exact_top_k": topk.ORACLE, "op10_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op5_secrets": secrets.ORACLE, "op8_exact_top_k": topk.ORACLE, "op10_warc": warc.ORACLE}
