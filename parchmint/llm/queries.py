@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parchmint.llm import langid, packing, secrets, simhash, token_counts, topk, warc
+from parchmint.llm import decontam, langid, packing, secrets, simhash, token_counts, topk, warc
 
 QUERIES = {
     "op2_token_counts": token_counts.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_secrets": secrets.query,
     "op7_language_id": langid.query,
     "op8_exact_top_k": topk.query,
+    "op9_decontamination": decontam.query,
     "op10_warc": warc.query,
 }
 
