@@ -1,19 +1,17 @@
-"""Whole-text token ids and spans of a public tokenizer file, with a bounded cache of space-delimited chunks.
+"""Whole-text token ids and spans of a byte-level BPE tokenizer file (JSON with vocabulary and merges).
 
-A single space between two non-space characters always begins a new pre-token of byte-level BPE, so a text
-is the concatenation of independent chunks and each distinct chunk is encoded once per worker.
+The ids equal Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids. In such a file a token's id orders
+the merges, so the vocabulary gives the ranks of a faster encoder, which returns the ids of a whole text as bytes.
 """
 
 from __future__ import annotations
 
-import re
+import json
 
 import numpy as np
 
-CUT = re.compile(r"(?<=\S) (?=\S)")
-ODD = re.compile(r"\s\s|[^\S ]")
-CACHE_CHUNKS = 400_000  # a cache only: when full it starts anew, results do not change
-LONG_CHUNK = 256  # longer chunks are encoded, not kept
+# Fixed value: how byte-level BPE splits text before its merges.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 _encoders: dict[str, Encoder] = {}
 
@@ -24,66 +22,44 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def byte_of_symbol() -> dict[str, int]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as characters from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Ids of whole texts, equal to Tokenizer.encode(text, add_special_tokens=False)."""
+    """Ids of whole texts."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.ids_of: dict[str, bytes] = {}
-        self.spans_of: dict[str, tuple[int, bytes, bytes]] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        if ODD.search(text) or text[:1] == " " or text[-1:] == " ":
-            return [p if i == 0 else " " + p for i, p in enumerate(CUT.split(text))]
-        parts = text.split(" ")
-        return parts[:1] + [" " + p for p in parts[1:]]
-
-    def learn(self, texts: list[list[str]]) -> list[str]:
-        """Encode the chunks that are not in the cache, many at a time; the long ones among them."""
-        if len(self.ids_of) > CACHE_CHUNKS:
-            self.ids_of.clear()
-        known = self.ids_of
-        new = list({c for chunks in texts for c in chunks if c not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return [c for c in new if len(c) > LONG_CHUNK]
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        """uint32 ids of each text."""
-        cut = [self.chunks(t) for t in texts]
-        long = self.learn(cut)
-        get = self.ids_of.__getitem__
-        out = [np.frombuffer(b"".join(map(get, chunks)), dtype="<u4") for chunks in cut]
-        for c in long:
-            del self.ids_of[c]
-        return out
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        byte = byte_of_symbol()
+        ranks = {bytes(byte[c] for c in s): i for s, i in spec["model"]["vocab"].items() if s not in self.special}
+        self.core = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)._core_bpe
+        self.n_bytes = np.zeros(max([*ranks.values(), *self.special.values()]) + 1, dtype=np.int64)
+        for s, i in [*ranks.items(), *((k.encode(), v) for k, v in self.special.items())]:
+            self.n_bytes[i] = len(s)
+
+    def ids(self, text: str) -> np.ndarray:
+        """uint32 ids of the text."""
+        return np.frombuffer(self.core.encode_to_tiktoken_buffer(text, set(self.special)), dtype="<u4")
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """First and one-past-last character of each token of the text."""
-        chunks, known = self.chunks(text), self.spans_of
-        if len(known) > CACHE_CHUNKS // 2:
-            known.clear()
-        new = list({c for c in chunks if c not in known})
-        for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            o = np.array(e.offsets, dtype="<i4").reshape(-1, 2)
-            known[c] = len(o), o[:, 0].tobytes(), o[:, 1].tobytes()
-        got = [known[c] for c in chunks]
-        for c in new:
-            if len(c) > LONG_CHUNK:
-                del known[c]
-        base = np.repeat(np.cumsum([0, *map(len, chunks[:-1])]), [g[0] for g in got])
-        return (np.frombuffer(b"".join([g[k] for g in got]), dtype="<i4") + base for k in (1, 2))
+        """First and one-past-last character that each token of the text has a byte of."""
+        sizes = self.n_bytes[self.ids(text)]
+        end = np.cumsum(sizes)
+        starts_char = (np.frombuffer(text.encode(), dtype=np.uint8) & 0xC0) != 0x80
+        char = np.cumsum(starts_char) - 1
+        return char[end - sizes], char[end - 1] + 1
 
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker and file."""
-    import os
-
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]

@@ -40,8 +40,9 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | Non
 
     def pieces(b: pa.RecordBatch) -> pa.RecordBatch:
         rows, cols = [], [[], [], [], []]
-        for k, ids in enumerate(encoder(path).ids([t or "" for t in b.column(1).to_pylist()])):
-            ids = np.append(ids, np.uint32(end_id)).astype("<u4")
+        enc = encoder(path)
+        for k, text in enumerate(b.column(1).to_pylist()):
+            ids = np.append(enc.ids(text or ""), np.uint32(end_id)).astype("<u4")
             for i, (s, n) in enumerate(cut(len(ids), capacity)):
                 rows.append(k)
                 for c, x in zip(cols, (i, s, n, zlib.crc32(ids[s : s + n].tobytes()))):
