@@ -165,6 +165,17 @@ def pooled(m: Model, texts: list[bytes]) -> np.ndarray:
     return total / sizes[:, None]
 
 
+def labels(m: Model | None, texts: list[str | None]) -> list[tuple[str, float]]:
+    """(language, score) of each text."""
+    out = [(UNKNOWN, 0.0)] * len(texts)
+    known = [k for k, t in enumerate(texts) if t and LETTER.search(t)] if m else []
+    if known:
+        p = pooled(m, [texts[k].encode() for k in known])
+        for k, best, value in zip(known, p.argmax(axis=1), p.max(axis=1)):
+            out[k] = m.languages[best], min(1.0, float(value))
+    return out
+
+
 def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds == fold
 
@@ -188,14 +199,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = b.column(1).to_pylist()
-        pred, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        known = [k for k, t in enumerate(texts) if t and LETTER.search(t)] if model else []
-        if known:
-            p = pooled(model, [texts[k].encode() for k in known])
-            for k, best, value in zip(known, p.argmax(axis=1), p.max(axis=1)):
-                pred[k], score[k] = model.languages[best], min(1.0, value)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(pred), pa.array(score)], ["doc_id", "lang_pred", "score"])
+        pred, score = zip(*labels(model, b.column(1).to_pylist()))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(list(pred)), pa.array(list(score))], ["doc_id", "lang_pred", "score"])
 
     got = arrow_map(docs.selectExpr("cast(doc_id as long) doc_id", "text"), run, "doc_id long, lang_pred string, score double")
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
@@ -205,3 +210,15 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op7: every document's language."""
     docs = table(spark, sf_dir, "documents")
     return predict(docs, fit(docs))
+
+
+def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs, all columns, without rows that are "und". Nothing is shuffled."""
+    names = docs.columns
+    at = names.index("text")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        texts = b.column(at).to_pylist()
+        return b.filter(pa.array([bool(model and pred != UNKNOWN) for pred, _ in labels(model, texts)], type=pa.bool_()))
+
+    return arrow_map(docs, run, docs.schema)

@@ -85,6 +85,22 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     return new, paths.join(hits, "sha", "left").select("doc_id", "sha", F.coalesce("spans", F.array_repeat(F.lit(None).cast(new.schema["spans"].dataType.elementType), 0)).alias("spans"))
 
 
+def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
+    """docs, all columns, with every span in text replaced by mark (overlapping spans by one)."""
+    rows = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    found, _ = scan(docs, rules=rules)
+    hits = found.filter(F.size("spans") > 0).select(F.col("sha").alias("_sha"), F.col("spans").alias("_spans"))
+
+    def step(acc: Column, s: Column) -> Column:
+        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        add = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit(mark))).otherwise("")
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], add).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    return rows.join(hits, "_sha", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)).select(docs.columns)
+
+
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Counts, base digest and joined spans of each row of scan()'s paths."""
     base = [i for i, r in enumerate(rules) if r.base]
