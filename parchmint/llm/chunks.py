@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import materialize, session_of, small_batches
+from parchmint.llm.common import materialize_by, session_of, small_batches
 
 CHUNK_BYTES = 4 << 20
 SCHEMA = "chunk long, doc_ids array<long>, sizes array<long>, n_bytes long, data binary"
@@ -41,7 +41,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
         if ids:
             yield chunk()
 
-    return materialize(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA), "chunks", "uncompressed")
+    return materialize_by(docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, SCHEMA), "chunks", "chunk")
 
 
 def total_bytes(chunks: DataFrame) -> int:

@@ -36,6 +36,16 @@ def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def materialize_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As materialize, bucketed by key: later groupings by the key read the files as they lie, without an exchange."""
+    spark = session_of(df)
+    path = scratch_path(spark, name)
+    own = path.rpartition("/")[2].replace("-", "_")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("compression", "uncompressed").option("path", path).saveAsTable(own)
+    return spark.table(own)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound what one Arrow batch holds; read when a plan is made."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

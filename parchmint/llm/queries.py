@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from parchmint.llm import decontam, langid, lm, packing, secrets, simhash, token_counts, topk, warc
+from parchmint.llm import decontam, dedup, langid, lm, packing, secrets, simhash, token_counts, topk, warc
 
 QUERIES = {
+    "op1_substring_dedup": dedup.query,
     "op2_token_counts": token_counts.query,
     "op3_best_fit_packing": packing.query,
     "op4_simhash": simhash.query,
