@@ -1,6 +1,6 @@
 """Operator 10, WARC archives of individually compressed records with an embedded Zstandard dictionary.
 
-A dictionary is trained on a bounded sample of records (SAMPLE_PAGES, the smallest hashes of page_id) and put into
+A dictionary is trained on a bounded sample (SAMPLE_PAGES of the smallest hashes of page_id, SAMPLE_BYTES each) and put into
 the leading skippable frame of every archive; each record is one frame. Of equal payloads of at least
 MIN_REVISIT bytes the smallest page_id is a response and the others are revisits. Archives are rows
 (archive, content) of a Parquet table, which any shared store holds and Spark commits atomically; export() writes
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from parchmint.llm.common import materialize, session_of, small_batches, table
 
-SAMPLE_PAGES, SAMPLE_CHARS, DICTIONARY_BYTES = 256, 16_384, 32_768
+SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 16_384, 32_768
 MIN_REVISIT = 100
 ARCHIVE_BYTES = 8 << 20
 LEVEL = 3
@@ -103,8 +103,10 @@ def write_archives(pages: DataFrame, date: str = "2026-01-01T00:00:00Z", archive
     """A stable table (archive, content) of the pages' records. pages: page_id, url, html."""
     small_batches(session_of(pages), 256)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    sampled = pages.orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES).select(F.substring("payload", 1, SAMPLE_CHARS)).collect()
-    raw = train([bytes(r[0]) for r in sampled if r[0]])
+    drawn = F.xxhash64("page_id").bitwiseAND(F.lit((1 << 30) - 1))
+    share = int(min(1.0, 1.5 * SAMPLE_PAGES / max(1, pages.count())) * (1 << 30))
+    sampled = pages.filter(drawn < share).select(drawn, F.substring("payload", 1, SAMPLE_BYTES)).collect()
+    raw = train([bytes(r[1]) for r in sorted(sampled)[:SAMPLE_PAGES] if r[1]])
     pages = pages.withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.length("payload"))
     same = pages.filter(F.col("n_bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("_n"))
     rows = pages.join(same.filter("_n > 1").drop("_n"), "digest", "left").select("page_id", "url", "payload", "digest", "n_bytes", "first_id")
