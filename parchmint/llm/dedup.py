@@ -45,6 +45,14 @@ PLACES, ITEMS, REPLIES = 0, 1, 2
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
+def packed(x: np.ndarray, kind: str) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.astype(kind).tobytes())
+
+
+def unpacked(x: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype=kind)
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
     """64-bit hashes of all GRAM-byte grams."""
     words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, 8)).view("<u8").ravel()
@@ -150,11 +158,12 @@ def send_segments(chunk: Chunk, buckets: int, replies: dict[int, bytes]) -> Iter
     docs = np.full(len(texts), LAST)
     np.minimum.at(docs, item, ids_of(chunk)[row])
     _, at = np.unique(item, return_index=True)
-    keys, lengths = anchor[at], np.array([len(t) for t in texts], dtype="<i8")
-    yield PLACES, -1, chunk.id, 0, place.astype("<i8").tobytes(), item.astype("<i4").tobytes(), None, None
+    keys, lengths = anchor[at], np.array([len(t) for t in texts])
+    o = np.argsort(place)
+    yield PLACES, -1, chunk.id, 0, packed(np.diff(place[o], prepend=0), "<i8"), packed(item[o], "<i4"), None, None
     for b, x, y in _cuts((keys >> np.uint64(32)) % np.uint64(buckets)):
-        blob = zstandard.ZstdCompressor(level=1).compress(b"".join(texts[x:y]))
-        yield ITEMS, b, chunk.id, x, keys[x:y].tobytes(), lengths[x:y].tobytes(), blob, docs[x:y].tobytes()
+        blob = zstandard.ZstdCompressor(level=3).compress(b"".join(texts[x:y]))
+        yield ITEMS, b, chunk.id, x, packed(keys[x:y], "<u4"), packed(lengths[x:y], "<i4"), blob, packed(docs[x:y], "<i8")
 
 
 def sorted_rotations(text: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -220,15 +229,15 @@ def answer_bucket(rows: pa.Table) -> pa.Table:
     item_of: dict[bytes, int] = {}
     of_chunk, docs, anchors = [], [], []
     for keys, sizes, blob, d in zip(*(rows.column(c).to_pylist() for c in ("keys", "sizes", "data", "docs"))):
-        data, ends = zstandard.ZstdDecompressor().decompress(blob), np.cumsum(np.frombuffer(sizes, dtype="<i8"))
+        data, ends = zstandard.ZstdDecompressor().decompress(blob), np.cumsum(unpacked(sizes, "<i4"))
         of_chunk.append([item_of.setdefault(data[a:b], len(item_of)) for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())])
-        docs.append(np.frombuffer(d, dtype="<i8"))
-        anchors.append(np.frombuffer(keys, dtype="<u8"))
+        docs.append(unpacked(d, "<i8"))
+        anchors.append(unpacked(keys, "<u4"))
     item = np.concatenate([np.array(x, dtype=np.int64) for x in of_chunk])
     texts = list(item_of)
     least = np.full(len(texts), LAST)
     np.minimum.at(least, item, np.concatenate(docs))
-    anchor = np.empty(len(texts), dtype=np.uint64)
+    anchor = np.empty(len(texts), dtype=np.uint32)
     anchor[item] = np.concatenate(anchors)
     _, place, n = np.unique(anchor, return_inverse=True, return_counts=True)
     hard = np.flatnonzero(n[place] > 1)
@@ -243,7 +252,7 @@ def answer_bucket(rows: pa.Table) -> pa.Table:
     out = [[], [], []]
     for own in of_chunk:
         for column, values, kind in zip(out, ([len(run_n[k]) for k in own], [x for k in own for x in run_n[k]], [x for k in own for x in run_docs[k]]), ("<u4", "<u4", "<i8")):
-            column.append(np.array(values, dtype=kind).tobytes())
+            column.append(packed(np.array(values, dtype=kind), kind))
     m = rows.num_rows
     cols = [pa.array([REPLIES] * m, type=pa.int32()), rows.column("bucket"), rows.column("chunk"), rows.column("first"), pa.array(out[0], type=pa.binary()), pa.array(out[1], type=pa.binary()), pa.array(out[2], type=pa.binary()), pa.array([None] * m, type=pa.binary())]
     return pa.table(cols, names=[x.split()[0] for x in SEGMENTS.split(", ")])
@@ -254,9 +263,9 @@ def removed(chunk: Chunk, rows: list[dict]) -> np.ndarray:
     step = np.zeros(len(chunk.data) + 1, dtype=np.int32)
     places = [r for r in rows if r["kind"] == PLACES]
     if places:
-        place, item = (np.frombuffer(places[0][c], dtype=t) for c, t in (("keys", "<i8"), ("sizes", "<i4")))
+        place, item = np.cumsum(unpacked(places[0]["keys"], "<i8")), unpacked(places[0]["sizes"], "<i4")
         replies = sorted((r for r in rows if r["kind"] == REPLIES), key=lambda r: r["first"])
-        n_runs, n, doc = (np.frombuffer(b"".join(r[c] for r in replies), dtype=t).astype(np.int64) for c, t in (("keys", "<u4"), ("sizes", "<u4"), ("data", "<i8")))
+        n_runs, n, doc = (np.concatenate([unpacked(r[c], t) for r in replies]).astype(np.int64) for c, t in (("keys", "<u4"), ("sizes", "<u4"), ("data", "<i8")))
         first_run = np.cumsum(n_runs) - n_runs
         total = np.cumsum(n) - n
         offset = total - np.repeat(total[first_run], n_runs)  # of each run in its segment
