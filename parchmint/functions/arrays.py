@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -48,10 +49,18 @@ def bounds(boxes: Column) -> Column:
     return F.struct(side("x0", F.array_min), side("y0", F.array_min), side("x1", F.array_max), side("y1", F.array_max))
 
 
+def normalized(values: pa.Array, form: str) -> pa.Array:
+    """Unicode normalisation. Arrays of ASCII, and strings that are normal already, are passed on."""
+    if pc.all(pc.string_is_ascii(values)).as_py() in (True, None):
+        return values
+    fresh = [t if t is None or t.isascii() or unicodedata.is_normalized(form, t) else unicodedata.normalize(form, t) for t in values.to_pylist()]
+    return pa.array(fresh, type=pa.string())
+
+
 @F.arrow_udf(T.ArrayType(T.StringType()))
 def nfc_all(lists: pa.Array) -> pa.Array:
     """Canonical composition of the strings of a list column."""
-    values = pc.utf8_normalize(lists.flatten(), form="NFC")
+    values = normalized(lists.flatten(), "NFC")
     return pa.ListArray.from_arrays(_offsets(lists), values, mask=lists.is_null()) if lists.null_count else pa.ListArray.from_arrays(_offsets(lists), values)
 
 

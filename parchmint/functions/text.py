@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parchmint.functions import patterns as P
+from parchmint.functions.arrays import normalized
 from parchmint.functions.patterns import java
 
 NAME_CHARS, TEXT_CHARS = 160, 2_000_000
@@ -18,13 +18,13 @@ NO_NAME = "Tài liệu không tên"  # fixed value: shown for a name with nothin
 @F.arrow_udf(T.StringType())
 def nfc(text: pa.Array) -> pa.Array:
     """Canonical composition."""
-    return pc.utf8_normalize(text, form="NFC")
+    return normalized(text, "NFC")
 
 
 @F.arrow_udf(T.StringType())
 def nfd(text: pa.Array) -> pa.Array:
     """Canonical decomposition."""
-    return pc.utf8_normalize(text, form="NFD")
+    return normalized(text, "NFD")
 
 
 def matches(text: Column, pattern: str) -> Column:

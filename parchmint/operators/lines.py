@@ -38,9 +38,9 @@ def best_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     return near.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").select(*keys, "anchor_ord", "pass_ix", "ord", "text", "confidence", "bbox")
 
 
-def without_repeats(lines: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Lines for which no earlier line of the page has the same normalised text at the same height."""
-    rows = lines.withColumn("_same", F.lower(normalize_text(F.col("text"))))
+def without_repeats(lines: DataFrame, keys: list[str], order: str, composed: bool = False) -> DataFrame:
+    """Lines (composed: in NFC already) for which no earlier line of the page has the same normalised text at the same height."""
+    rows = lines.withColumn("_same", F.lower(normalize_text(F.col("text"), composed)))
     before = rows.select(*keys, "_same", F.col(order).alias("_before"), F.col("bbox").alias("_box"))
     height = F.greatest(_height(F.col("bbox")), _height(F.col("_box")))
     earlier = (F.col("_before") < F.col(order)) & (F.abs(_center(F.col("bbox")) - _center(F.col("_box"))) <= height * SAME_ROW)
@@ -56,9 +56,9 @@ def in_reading_order(keys: list[str], box: str = "bbox", ordinal: str = "ord"):
     return Window.partitionBy(*keys).orderBy(F.col(box)["y0"], F.col(box)["x0"], ordinal)
 
 
-def without_consecutive(lines: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
+def without_consecutive(lines: DataFrame, keys: list[str], order: str, text: str = "text", composed: bool = False) -> DataFrame:
     """Normalised lines that are not empty and differ, but for case, from the one before."""
-    rows = lines.withColumn(text, normalize_text(F.col(text))).filter(F.col(text) != "")
+    rows = lines.withColumn(text, normalize_text(F.col(text), composed)).filter(F.col(text) != "")
     w = Window.partitionBy(*keys).orderBy(order)
     before = F.lag(F.lower(text)).over(w)
     return rows.withColumn("_again", F.coalesce(before == F.lower(text), F.lit(False))).filter(~F.col("_again")).drop("_again")
