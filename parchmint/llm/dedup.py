@@ -5,8 +5,10 @@ A byte goes when it is covered by a LENGTH-byte string that also starts in a doc
 A suffix array of the whole corpus fits no task, so the strings are first dealt to independent buckets: the anchor of
 a string is the smallest hash among its GRAM-byte grams, and equal strings have equal anchors. Consecutive strings with
 one anchor form a segment. Anchors of one document alone are told apart by a first exchange that carries 32 bits an
-anchor; only segments whose anchor two documents share go on, each distinct one of a chunk once, with its smallest doc_id,
-so that a passage in a third of all documents is a few entries a chunk.
+anchor. An anchor that more than HOT_CHUNKS chunks have, such as the edge of a passage in a third of all documents, would
+gather the different surroundings of all its places in one bucket; a second exchange tells its strings apart one by one,
+over all buckets. Only strings that two documents can share go on, each distinct segment of a chunk once, with its
+smallest doc_id, so that a passage in a third of all documents is a few entries a chunk.
 
 In a bucket the distinct segments are cut into shards. Each shard's transform is built alone (rotations sorted to LENGTH
 bytes). The merge keeps one shard number for each place: a round reads the transforms in the present interleave and
@@ -37,9 +39,11 @@ LENGTH, GRAM = 50, 24  # GRAM: a multiple of 8
 SLAB = 1 << 20
 BUCKET_BYTES = 8 << 20
 SHARD_BYTES, MAX_SHARDS = 32_768, 250
+HOT_CHUNKS = 64
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 SEPARATOR = 0xFF  # UTF-8 never has it
-ANCHORS = "bucket int, chunk long, keys binary"
+KEYS = "kind int, bucket int, chunk long, keys binary"
+ANCHOR, STRING = 0, 1
 SEGMENTS = "kind int, bucket int, chunk long, first long, keys binary, sizes binary, data binary, docs binary"
 PLACES, ITEMS, REPLIES = 0, 1, 2
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -97,20 +101,17 @@ def ids_of(chunk: Chunk) -> np.ndarray:
     return np.array([LAST if d is None else d for d in chunk.doc_ids], dtype=np.int64)
 
 
-def anchors_of(chunk: Chunk, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
-    """(distinct anchors ordered by bucket and value, bucket of each, whether several rows have it, segments())."""
-    found = segments(chunk)
-    anchor, _, _, row = found
-    order = np.lexsort((row, anchor))
-    a, r = anchor[order], row[order]
-    new = np.r_[True, a[1:] != a[:-1]] if len(a) else np.zeros(0, dtype=bool)
+def distinct_keys(keys: np.ndarray, rows: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys ordered by bucket and value, bucket of each, whether several rows have it)."""
+    order = np.lexsort((rows, keys))
+    k, r = keys[order], rows[order]
+    new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, dtype=bool)
     several = np.zeros(new.sum(), dtype=bool)
-    if len(a):
+    if len(k):
         several[(np.cumsum(new) - 1)[1:][(~new[1:]) & (r[1:] != r[:-1])]] = True
-    distinct = a[new]
-    bucket = (distinct >> np.uint64(32)) % np.uint64(buckets)
+    bucket = (k[new] >> np.uint64(32)) % np.uint64(buckets)
     o = np.argsort(bucket, kind="stable")
-    return distinct[o], bucket[o], several[o], found
+    return k[new][o], bucket[o], several[o]
 
 
 def _cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
@@ -119,36 +120,86 @@ def _cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
     return [(int(bucket[a]), int(a), int(b)) for a, b in zip(at[:-1], at[1:])]
 
 
-def send_anchors(chunk: Chunk, buckets: int) -> Iterator[tuple]:
-    """31 bits of each anchor, which tell a bucket's anchors apart well enough, and whether several rows have it."""
-    distinct, bucket, several, _ = anchors_of(chunk, buckets)
+def _send(kind: int, chunk: Chunk, keys: np.ndarray, rows: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """31 bits of each distinct key, which tell a bucket's keys apart well enough, and whether several rows have it."""
+    distinct, bucket, several = distinct_keys(keys, rows, buckets)
     key = (distinct.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | several.astype(np.uint32)
     for b, x, y in _cuts(bucket):
-        yield b, chunk.id, key[x:y].tobytes()
+        yield kind, b, chunk.id, key[x:y].tobytes()
+
+
+def _told(kind: int, keys: np.ndarray, rows: np.ndarray, buckets: int, replies: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Of each key: whether two rows of the corpus have it, and whether it is hot."""
+    distinct, bucket, _ = distinct_keys(keys, rows, buckets)
+    bits = np.zeros((2, len(distinct)), dtype=bool)
+    for b, x, y in _cuts(bucket):
+        half = np.frombuffer(replies[kind, b], dtype=np.uint8).reshape(2, -1)
+        bits[:, x:y] = np.unpackbits(half, axis=1, count=y - x)
+    o = np.argsort(distinct)
+    at = o[np.searchsorted(distinct[o], keys)]
+    return bits[0][at], bits[1][at]
+
 
+def send_anchors(chunk: Chunk, buckets: int) -> Iterator[tuple]:
+    anchor, _, _, row = segments(chunk)
+    yield from _send(ANCHOR, chunk, anchor, row, buckets)
 
-def shared_anchors(rows: pa.Table) -> pa.Table:
-    """For each chunk of a bucket a bit an anchor: whether two rows of the corpus have it."""
+
+def shared_keys(rows: pa.Table) -> pa.Table:
+    """For each chunk's keys in a bucket a bit each for shared, and then a bit each for hot."""
     keys = [np.frombuffer(x, dtype="<u4") for x in rows.column("keys").to_pylist()]
     every = np.concatenate(keys)
     _, place, n = np.unique(every >> 1, return_inverse=True, return_counts=True)
     several = n > 1
     several[place[every & 1 == 1]] = True
-    bits = [np.packbits(x).tobytes() for x in np.split(several[place], np.cumsum([len(k) for k in keys])[:-1])]
-    return pa.table([rows.column("bucket"), rows.column("chunk"), pa.array(bits, type=pa.binary())], names=["bucket", "chunk", "keys"])
+    ends = np.cumsum([len(k) for k in keys])[:-1]
+    bits = [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(several[place], ends), np.split((n > HOT_CHUNKS)[place], ends))]
+    return pa.table([rows.column("kind"), rows.column("bucket"), rows.column("chunk"), pa.array(bits, type=pa.binary())], names=["kind", "bucket", "chunk", "keys"])
 
 
-def send_segments(chunk: Chunk, buckets: int, replies: dict[int, bytes]) -> Iterator[tuple]:
-    """The places of segments with shared anchors, for the chunk itself, and the distinct ones for their buckets."""
-    distinct, bucket, _, (anchor, place, size, row) = anchors_of(chunk, buckets)
-    shared = np.zeros(len(distinct), dtype=bool)
-    for b, x, y in _cuts(bucket):
-        shared[x:y] = np.unpackbits(np.frombuffer(replies[b], dtype=np.uint8), count=y - x)
-    wanted = np.sort(distinct[shared])
-    if not len(wanted):
+def string_hashes(data: bytes, at: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the LENGTH-byte strings at these places."""
+    words = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, dtype=np.uint8), 8)
+    h = np.zeros(len(at), dtype=np.uint64)
+    for j in (*range(0, LENGTH - 8, 8), LENGTH - 8):
+        x = np.ascontiguousarray(words[at + j]).view("<u8").ravel()
+        h = (h ^ x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def _strings(place: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all strings of segments."""
+    return np.repeat(place - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def send_strings(chunk: Chunk, buckets: int, replies: dict) -> Iterator[tuple]:
+    """The strings of hot anchors."""
+    if not any(any(bits[len(bits) // 2 :]) for bits in replies.values()):
+        return
+    anchor, place, size, row = segments(chunk)
+    _, hot = _told(ANCHOR, anchor, row, buckets, replies)
+    at = _strings(place[hot], size[hot])
+    yield from _send(STRING, chunk, string_hashes(chunk.data, at), np.repeat(row[hot], size[hot]), buckets)
+
+
+def send_segments(chunk: Chunk, buckets: int, replies: dict) -> Iterator[tuple]:
+    """The places of segments that are shared, for the chunk itself, and the distinct ones for their buckets."""
+    anchor, place, size, row = segments(chunk)
+    if not len(anchor):
+        return
+    shared, hot = _told(ANCHOR, anchor, row, buckets, replies)
+    parts = [[x[shared & ~hot] for x in (anchor, place, size, row)]]
+    if hot.any():  # what is left of a hot segment: its runs of shared strings
+        at, owner = _strings(place[hot], size[hot]), np.repeat(np.flatnonzero(hot), size[hot])
+        keep, _ = _told(STRING, string_hashes(chunk.data, at), row[owner], buckets, replies)
+        at, owner = at[keep], owner[keep]
+        if len(at):
+            begin = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (at[1:] != at[:-1] + 1)])
+            parts.append([anchor[owner[begin]], at[begin], np.diff(np.r_[begin, len(at)]), row[owner[begin]]])
+    anchor, place, size, row = (np.concatenate(x) for x in zip(*parts))
+    if not len(anchor):
         return
-    mine = wanted[np.minimum(np.searchsorted(wanted, anchor), len(wanted) - 1)] == anchor
-    anchor, place, size, row = anchor[mine], place[mine], size[mine], row[mine]
     o = np.argsort((anchor >> np.uint64(32)) % np.uint64(buckets), kind="stable")
     anchor, place, size, row = anchor[o], place[o], size[o], row[o]
     item_of: dict[bytes, int] = {}
@@ -305,14 +356,25 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     chunks = chunked(docs)
     buckets = buckets_for(total_bytes(chunks), BUCKET_BYTES)
     small_batches(session_of(docs), 1)
-    sent = chunks.mapInArrow(per_chunk(lambda c: send_anchors(c, buckets), ["bucket", "chunk", "keys"], [pa.int32(), pa.int64(), pa.binary()]), ANCHORS)
-    shared = sent.groupBy("bucket").applyInArrow(shared_anchors, ANCHORS)
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+
+    def exchanged(sent: DataFrame, name: str) -> DataFrame:
+        return materialize(sent.groupBy("kind", "bucket").applyInArrow(shared_keys, KEYS), name)
+
+    def answered(fn, schema: str):
+        """fn(Chunk, buckets, {(kind, bucket): bits}) of each chunk and the replies to it."""
+
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            replies = {(k, b): x for k, b, x in zip(*(right.column(c).to_pylist() for c in ("kind", "bucket", "keys")))}
+            return _columns([x for row in left.to_pylist() for x in fn(Chunk(row), buckets, replies)], schema)
 
-    def segments_of(left: pa.Table, right: pa.Table) -> pa.Table:
-        replies = dict(zip(right.column("bucket").to_pylist(), right.column("keys").to_pylist()))
-        return _columns([x for row in left.to_pylist() for x in send_segments(Chunk(row), buckets, replies)], SEGMENTS)
+        return run
 
-    parts = materialize(chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(segments_of, SEGMENTS), "segments", "uncompressed")
+    anchors = exchanged(chunks.mapInArrow(per_chunk(lambda c: send_anchors(c, buckets), ["kind", "bucket", "chunk", "keys"], kinds), KEYS), "anchors")
+    by_chunk = chunks.groupBy("chunk")
+    strings = exchanged(by_chunk.cogroup(anchors.groupBy("chunk")).applyInArrow(answered(send_strings, KEYS), KEYS), "strings")
+    told = anchors.unionByName(strings).groupBy("chunk")
+    parts = materialize(by_chunk.cogroup(told).applyInArrow(answered(send_segments, SEGMENTS), SEGMENTS), "segments", "uncompressed")
     replies = parts.filter(F.col("kind") == ITEMS).groupBy("bucket").applyInArrow(answer_bucket, SEGMENTS)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
