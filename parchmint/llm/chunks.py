@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import materialize_by, session_of, small_batches
+from parchmint.llm.common import materialize_by, sliced
 
 CHUNK_BYTES = 4 << 20
 SCHEMA = "chunk long, doc_ids array<long>, sizes array<long>, n_bytes long, data binary"
@@ -19,8 +19,6 @@ SCHEMA = "chunk long, doc_ids array<long>, sizes array<long>, n_bytes long, data
 
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """A stable table of chunks of at least chunk_bytes, or what a task has; null texts are empty. docs: doc_id, text."""
-    small_batches(session_of(docs))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
 
@@ -30,7 +28,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], ["chunk", "doc_ids", "sizes", "n_bytes", "data"])
 
-        for b in batches:
+        for b in sliced(batches):
             for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids.append(d)
                 texts.append((t or "").encode())

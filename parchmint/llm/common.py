@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-BATCH_ROWS = 512  # rows of an Arrow batch: long documents must not pile up in a Python worker
+BATCH_ROWS = 512  # rows that become Python objects at once
 
 
 def session_of(df: DataFrame) -> SparkSession:
@@ -24,8 +24,21 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+_written: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _written[-1]
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Remove the tables that this process wrote into the shared folder, once no DataFrame over them is used any more."""
+    n = 0
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
@@ -46,9 +59,11 @@ def materialize_by(df: DataFrame, name: str, key: str) -> DataFrame:
     return spark.table(own)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound what one Arrow batch holds; read when a plan is made."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """Batches in slices: Spark bounds a batch's bytes, this bounds what becomes Python objects at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,12 +71,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """mapInArrow over single batches."""
-    small_batches(session_of(df))
+    """mapInArrow over slices of batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows and (out := fn(b)) is not None and out.num_rows:
+        for b in sliced(batches):
+            if (out := fn(b)) is not None and out.num_rows:
                 yield out
 
     return df.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import materialize, session_of, small_batches, table
+from parchmint.llm.common import materialize, session_of, sliced, table
 
 SEED_WORDS, RARE_FACTOR, RARE_FLOOR = 3, 4, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -93,8 +93,6 @@ def score(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 def passages(docs: DataFrame, items: Items) -> DataFrame:
     """For each document and item the passages around shared seeds, merged where they touch."""
-    small_batches(session_of(docs))
-
     def of(text: str) -> Iterator[tuple[int, list[int], list[int]]]:
         get = items.vocabulary.get
         ids = np.array([get(w, 0) for w in words_of(text)], dtype=np.int64)
@@ -121,7 +119,7 @@ def passages(docs: DataFrame, items: Items) -> DataFrame:
                 yield item, np.unique(seed[group]).tolist(), ids[a:b].tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = [(d, *p) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for p in of(t)]
             if rows:
                 cols = list(zip(*rows))
@@ -143,8 +141,8 @@ def rare_seeds(items: Items, df: dict[int, int]) -> np.ndarray:
     found, rare = np.zeros(len(items.seed_item), dtype=np.int64), np.zeros(len(items.seed_item), dtype=bool)
     for s, n in df.items():
         found[s] = n
-    for item in range(len(items.words)):
-        own = np.flatnonzero(items.seed_item == item)
+    order = np.argsort(items.seed_item, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(items.seed_item[order])) + 1):
         if len(own):
             rare[own] = found[own] <= max(RARE_FLOOR, RARE_FACTOR * np.median(found[own]))
     return rare
@@ -173,7 +171,7 @@ def _one_part(docs: DataFrame, item_ids: list[int | None], items: Items, min_sco
     words = items.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for d, i, seeds, p in zip(*(c.to_pylist() for c in b.columns)):
                 if n := int(rare[seeds].sum()):

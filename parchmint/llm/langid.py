@@ -11,11 +11,11 @@ exists; repeated rows are predicted alike; a null doc_id is predicted and held_o
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +25,7 @@ SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 200, 4096, 256
 HIDDEN, WINDOW, SLAB = 8, 64, 4096
 STEPS, BATCH, TRAIN_WINDOW, RATE, SEED = 500, 256, 32, 0.02, 7
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass

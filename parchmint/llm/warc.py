@@ -1,6 +1,7 @@
 """Operator 10, WARC archives of individually compressed records with an embedded Zstandard dictionary.
 
-A dictionary is trained on a bounded sample (SAMPLE_PAGES of the smallest hashes of page_id, SAMPLE_BYTES each) and put into
+A dictionary is trained on the records of a bounded sample (SAMPLE_PAGES of the smallest hashes of page_id,
+SAMPLE_BYTES of each payload) and put into
 the leading skippable frame of every archive; each record is one frame. Of equal payloads of at least
 MIN_REVISIT bytes the smallest page_id is a response and the others are revisits. Archives are rows
 (archive, content) of a Parquet table, which any shared store holds and Spark commits atomically; export() writes
@@ -22,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import materialize, session_of, small_batches, table
+from parchmint.llm.common import materialize, sliced, table
 
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 16_384, 32_768
 MIN_REVISIT = 100
@@ -101,12 +102,12 @@ def parse(rec: bytes) -> dict:
 
 def write_archives(pages: DataFrame, date: str = "2026-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """A stable table (archive, content) of the pages' records. pages: page_id, url, html."""
-    small_batches(session_of(pages), 256)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     drawn = F.xxhash64("page_id").bitwiseAND(F.lit((1 << 30) - 1))
     share = int(min(1.0, 1.5 * SAMPLE_PAGES / max(1, pages.count())) * (1 << 30))
-    sampled = pages.filter(drawn < share).select(drawn, F.substring("payload", 1, SAMPLE_BYTES)).collect()
-    raw = train([bytes(r[1]) for r in sorted(sampled)[:SAMPLE_PAGES] if r[1]])
+    sampled = pages.filter(drawn < share).select(drawn, F.substring("payload", 1, SAMPLE_BYTES), F.col("page_id"), F.col("url")).collect()
+    samples = [(bytes(r[1]), r[2], r[3]) for r in sorted(sampled, key=lambda r: (r[0], bytes(r[1])))[:SAMPLE_PAGES]]
+    raw = train([record(i, u, x, hashlib.sha256(x).hexdigest(), len(x), False, None, date) for x, i, u in samples])
     pages = pages.withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.length("payload"))
     same = pages.filter(F.col("n_bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("_n"))
     rows = pages.join(same.filter("_n > 1").drop("_n"), "digest", "left").select("page_id", "url", "payload", "digest", "n_bytes", "first_id")
@@ -121,7 +122,7 @@ def write_archives(pages: DataFrame, date: str = "2026-01-01T00:00:00Z", archive
             name = f"{hashlib.sha256(content).hexdigest()[:24]}.warc.zst"
             return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], type=pa.binary())], ["archive", "content"])
 
-        for b in batches:
+        for b in sliced(batches, 256):
             for page_id, url, payload, digest, n, first in zip(*(c.to_pylist() for c in b.columns)):
                 revisit = first is not None and first != page_id
                 parts.append(compress(record(page_id, url, payload, digest, n, revisit, first if revisit else None, date)))
@@ -137,7 +138,6 @@ def write_archives(pages: DataFrame, date: str = "2026-01-01T00:00:00Z", archive
 
 def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """The records of an archive table."""
-    small_batches(session_of(archives), 1)
     names = ["page_id", "url", "record_type", "payload_bytes", "payload_digest", "payload", "refers_to"]
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64()]
 

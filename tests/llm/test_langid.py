@@ -48,7 +48,7 @@ def rows(rng, n=240):
 
 def test_held_out_accuracy_and_edge_cases(spark):
     rng = random.Random(1)
-    data = rows(rng) + [(900, None, "en"), (901, "", "en"), (902, "123 -- 7", None), (None, sentence(rng, "de", 30), None), (903, sentence(rng, "en", 4000), "en"), (5, "und die der", "de")]
+    data = rows(rng) + [(900, None, "en"), (901, "", "en"), (902, "123 -- 7 ² Ⅷ", None), (None, sentence(rng, "de", 30), None), (903, sentence(rng, "en", 4000), "en"), (5, "und die der", "de")]
     df = spark.createDataFrame(data, "doc_id long, text string, lang string").selectExpr("*", "'x' AS lang_pred", "1 AS score", "true AS held_out")
     model = G.fit(df)
     got = G.predict(df, model).collect()

@@ -42,3 +42,10 @@ def test_stages(spark, folder):
 def test_contract():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{k}" for k in range(1, 11)]
     assert P.QUERIES == {"pipeline": P.run} and len(P.STAGES) == 5
+
+
+def test_scratch_tables_are_removed(spark):
+    from parchmint.llm import common
+
+    df = common.materialize(spark.range(5).toDF("a"), "kept")
+    assert df.count() == 5 and common.clear_scratch(spark) >= 1 and common.clear_scratch(spark) == 0
