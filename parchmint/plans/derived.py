@@ -166,7 +166,6 @@ def synthetic_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ids = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
     kind = to_arrow_type(spark.createDataFrame([], f"image {schemas.IMAGE}").schema["image"].dataType)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
 
     def draw(page_id: int) -> np.ndarray:
         h, w = 240 + page_id % 5 * 12, 180 + page_id % 7 * 10
