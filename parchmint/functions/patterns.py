@@ -5,6 +5,8 @@ r"""Patterns written once, with the meaning that \b and \s have for ECMAScript,
 
 from __future__ import annotations
 
+import re
+
 SPACES = r"\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 _WORD = "[A-Za-z0-9_]"
 _BOUNDARY = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
@@ -28,8 +30,21 @@ def _spaces(pattern: str) -> str:
     return "".join(out)
 
 
-def java(pattern: str) -> str:
-    return _spaces(pattern).replace(r"\b", _BOUNDARY)
+def java(pattern: str, collapsed: bool = False) -> str:
+    r"""For Spark. collapsed: the text has no space but single U+0020, so that \s is that.
+
+    A boundary before a letter is tested after it and one after a word by looking ahead: a pattern that begins with its
+    letter fails at once at almost every place of a text.
+    """
+    out = pattern.replace(r"\s", " ") if collapsed else _spaces(pattern)
+    out = re.sub(r"\\b([A-Za-z])", lambda m: f"{m[1]}(?<!{_WORD}{m[1]})", out)
+    out = out.replace(r"\b(", f"(?<!{_WORD})(")
+    out = re.sub(r"(?<=[A-Za-z)])\\b", f"(?!{_WORD})", out)
+    return out.replace(r"\b", _BOUNDARY)
+
+
+#: Runs of spaces that are not a single U+0020 already.
+UNEVEN = rf"(?:[{SPACES.replace(' ', '')}]| (?=[{SPACES}]))[{SPACES}]*"
 
 
 def re2(pattern: str) -> str:

@@ -40,7 +40,8 @@ def trim(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    return trim(replaced(text, r"\s+", " "))
+    """Runs of spaces as one U+0020, none at the ends."""
+    return F.trim(F.regexp_replace(text, F.lit(P.UNEVEN), F.lit(" ")))
 
 
 def normalize_token(text: Column, composed: bool = False) -> Column:
@@ -53,7 +54,7 @@ def normalize_text(text: Column, composed: bool = False) -> Column:
     """normalize_token and the table of repairs in its order."""
     out = normalize_token(text, composed)
     for pattern, by in P.REPAIRS:
-        out = replaced(out, pattern, by)
+        out = F.regexp_replace(out, F.lit(java(pattern, collapsed=True)), F.lit(by))
     return out
 
 
@@ -97,7 +98,7 @@ def choose_language(first: Column, first_confidence: Column, second: Column, sec
 def candidate_score(text: Column, confidence: Column, normalized: bool = False) -> Column:
     """Confidence with a bonus for length and penalties for noisy tokens, joined sentences and malformed words."""
     text = text if normalized else normalize_text(text)
-    tokens = F.filter(F.split(text, java(r"\s+"), -1), lambda t: t != "")
+    tokens = F.filter(F.split(text, " ", -1), lambda t: t != "")  # normalised text has no other space
     noisy = F.filter(tokens, lambda t: matches(t, P.BARS_ONLY) | matches(t, P.BROKEN_LETTERS) | (matches(t, P.ONE_ALNUM) & ~matches(t, P.ONE_LETTER_WORD)))
     count = lambda p: F.regexp_count(text, F.lit(java(p)))
     return confidence + F.least(F.lit(8.0), F.size(tokens) / 60) - F.size(noisy) * 5 - count(P.JOINED_SENTENCE) * 3 - count(P.MALFORMED) * 6

@@ -62,8 +62,14 @@ def sql_score(text: str, confidence: str) -> str:
     return f"({confidence} + least(8.0::DOUBLE, len({tokens}) / 60::DOUBLE) - len({noisy}) * 5 - {sql_count(text, P.JOINED_SENTENCE)} * 3 - {sql_count(text, P.MALFORMED)} * 6)"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: a small table is one file and one task, a large one has partitions enough and stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def lines(spark: SparkSession, sf_dir: str, dirty: bool = True) -> DataFrame:
@@ -164,7 +170,7 @@ def synthetic_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from parchmint.operators.image import image_of
 
-    ids = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+    ids = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id"))
     kind = to_arrow_type(spark.createDataFrame([], f"image {schemas.IMAGE}").schema["image"].dataType)
 
     def draw(page_id: int) -> np.ndarray:
