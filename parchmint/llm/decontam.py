@@ -3,8 +3,10 @@
 Benchmark items are cut into word n-grams; those that a document shares are seeds. A seed is rare when no more documents
 have it than RARE_FACTOR times the item's median seed (and no fewer than RARE_FLOOR): the measure is relative to the
 item, so an item that leaked into a third of the corpus keeps its seeds while n-grams of everyday words go. The passages
-around an item's rare seeds, an item's length on both sides, are aligned with it word by word; a pair is reported when
-the best local alignment reaches MIN_SCORE of the item's perfect score.
+around an item's seeds, an item's length on both sides, are aligned with it word by word unless they have too few of its
+words for MIN_SCORE of its perfect score; a pair is reported when the best local alignment reaches that. Rarity decides
+only where it is the sole evidence: without a rare seed more words must match than one n-gram has. (An item of which the
+same part stands in many documents has many seeds that are found nowhere, so that none of those that are found is rare.)
 
 Documents are read once; only seeds and passages leave that scan. The benchmark goes to every executor, so its size is
 checked: up to ITEM_WORDS words at a time, in as many scans as it takes.
@@ -91,6 +93,14 @@ def score(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, int(matched)
 
 
+def words_shared(item: np.ndarray, passage: np.ndarray) -> int:
+    """The most words of the item that an alignment with the passage can match."""
+    own, many = np.unique(item, return_counts=True)
+    at = np.searchsorted(own, passage)
+    at = at[own[np.minimum(at, len(own) - 1)] == passage]
+    return int(np.minimum(np.bincount(at, minlength=len(own)), many).sum())
+
+
 def passages(docs: DataFrame, items: Items) -> DataFrame:
     """For each document and item the passages around shared seeds, merged where they touch."""
     def of(text: str) -> Iterator[tuple[int, list[int], list[int]]]:
@@ -151,7 +161,7 @@ def rare_seeds(items: Items, df: dict[int, int]) -> np.ndarray:
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, n: int = SEED_WORDS) -> DataFrame:
     """(doc_id, item_id, score, n_aligned, n_seeds) of each document and item whose best alignment reaches min_score.
 
-    score is the alignment's share of the item's perfect score. docs: doc_id, text; benchmark: item_id, text.
+    score is the alignment's share of the item's perfect score, n_seeds counts the passage's rare seeds. docs: doc_id, text; benchmark: item_id, text.
     """
     spark = session_of(docs)
     rows = benchmark.selectExpr("cast(item_id as long) item_id", "text", "size(split(text, '\\\\s+')) n_words").filter("text IS NOT NULL")
@@ -168,17 +178,20 @@ def _one_part(docs: DataFrame, item_ids: list[int | None], items: Items, min_sco
     found = materialize(passages(docs, items), "passages")
     df = found.select("doc_id", F.explode("seeds").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
     rare = rare_seeds(items, {r[0]: r[1] for r in df.collect()})  # one row a seed at most
-    words = items.words
+    words, gram = items.words, items.n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             rows = []
             for d, i, seeds, p in zip(*(c.to_pylist() for c in b.columns)):
-                if n := int(rare[seeds].sum()):
-                    best, matched = score(words[i], np.array(p))
-                    share = best / (MATCH * len(words[i]))
-                    if share >= min_score:
-                        rows.append((d, item_ids[i], share, matched, n))
+                p = np.array(p)
+                if words_shared(words[i], p) / len(words[i]) < min_score:
+                    continue
+                n = int(rare[seeds].sum())
+                best, matched = score(words[i], p)
+                share = best / (MATCH * len(words[i]))
+                if share >= min_score and (n or matched > gram):
+                    rows.append((d, item_ids[i], share, matched, n))
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), type=k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "item_id", "score", "n_aligned", "n_seeds"])

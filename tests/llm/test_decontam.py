@@ -61,6 +61,33 @@ def test_copies_edits_and_clean_documents(spark, docs, monkeypatch, words):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("copies", [8, 9, 40])
+def test_parts_and_edits_in_many_documents(spark, docs, copies):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    half, edited, both = ([word() for _ in range(40)] for _ in range(3))
+    every4th = lambda w: " ".join(x if k % 4 < 3 else word() for k, x in enumerate(w))
+    rows = [(d, " ".join(half[:20])) for d in range(copies)] + [(100 + d, every4th(edited)) for d in range(copies)]
+    rows += [(200 + d, every4th(both)) for d in range(copies)] + [(300, " ".join(both))]  # one whole copy besides
+    rows += [(400 + d, " ".join([word() for _ in range(30)] + half[:3])) for d in range(20)]  # a lone n-gram
+    got = C.contaminated(docs(rows), bench(spark, [(0, " ".join(half)), (1, " ".join(edited)), (2, " ".join(both))])).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(d, d // 100) for d, _ in rows[: 3 * copies]] + [(300, 2)]
+
+
+def test_a_lone_everyday_phrase_is_no_evidence(spark, docs):
+    rows = [(d, f"w{d} is one of the x{d}") for d in range(30)]
+    assert C.contaminated(docs(rows), bench(spark, [(0, "one of the best known rivers")])).collect() == []
+
+
+def test_words_shared_bounds_the_score():
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(80):
+        a, b = (np.array([rng.randint(1, 5) for _ in range(rng.randint(1, 12))]) for _ in range(2))
+        assert C.score(a, b)[0] <= C.MATCH * C.words_shared(a, b) == C.MATCH * sum(min((a == x).sum(), (b == x).sum()) for x in set(a.tolist()))
+
+
 def test_short_items(spark, docs):
     got = C.contaminated(docs([(1, "so Two words."), (2, "two other words"), (3, "single")]), bench(spark, [(5, "two words"), (6, "single")])).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 5), (3, 6)]
