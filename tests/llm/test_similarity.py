@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from parchmint.llm import similarity as S
 from parchmint.llm.simhash import _labels
@@ -58,3 +59,20 @@ def test_a_true_pair_among_false_neighbours(spark, docs):
     got = {r.doc_id: r.component_id for r in S.components(docs(list(enumerate(texts)))).collect()}
     assert [got[k] for k in range(len(texts))] == want
     assert len(set(want)) > 5 and (near & ~alike).sum() > 500
+
+
+@pytest.mark.parametrize("strip", [1, 1000, 1 << 19])
+@pytest.mark.parametrize("n", [2, 60, 300])
+def test_a_posting_is_compared_whole(monkeypatch, strip, n):
+    monkeypatch.setattr(S, "STRIP", strip)
+    rng, nodes = np.random.default_rng(n), np.arange(n) + 1000
+    centres = rng.integers(0, 256, (max(1, n // 20), S.BYTES), dtype=np.uint8)
+    flips = np.packbits(rng.random((n, S.BYTES * 8)) < rng.choice([0.05, 0.09, 0.12], (n, 1)), axis=1)
+    fps = np.ascontiguousarray(centres[rng.integers(0, len(centres), n)] ^ flips)
+    near = differing(fps) <= S.MAX_DIFFERENT
+    a, b = (np.concatenate(x) - 1000 if x else np.empty(0, dtype=int) for x in zip(*S.posting_pairs(nodes, fps, None)) or ((), ()))
+    assert near[a, b].all() and _labels(n, a, b).tolist() == smallest(n, near)
+    assert len(a) == n - len(set(smallest(n, near)))  # a forest
+    part = rng.integers(0, 3, n)
+    found = {(min(x), max(x)) for i, j in S.posting_pairs(nodes, fps, part) for x in zip((i - 1000).tolist(), (j - 1000).tolist())}
+    assert found == {(i, j) for i, j in zip(*np.nonzero(np.triu(near & (part[:, None] != part[None]), 1)))}
