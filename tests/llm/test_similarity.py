@@ -45,6 +45,30 @@ def ids(df):
     return sorted(r.doc_id for r in df.collect())
 
 
+def test_repeated_lines_neither_join_nor_part_documents(spark, docs):
+    rng, rows, keep = random.Random(5), [], []
+    for d in range(0, 40, 4):
+        line = " ".join(words_(rng, 20))
+        x, y = (" ".join(words_(rng, 100)) for _ in range(2))
+        rows += [(d, f"{x} {' '.join([line] * 10)}"), (d + 1, f"{y} {' '.join([line] * 10)}")]  # one line in common
+        z = words_(rng, 100)
+        one, ten = (" ".join([*z, *[line] * k]) for k in (2, 10))  # the same shingles
+        rows += [(d + 2, one), (d + 3, ten)]
+        assert not similar(rows[-4][1], rows[-3][1]) and shingles(one) == shingles(ten)
+        keep += [d, d + 1, d + 2]
+    assert ids(S.keep_one(docs(rows))) == keep
+
+
+def test_equal_fingerprints_of_different_texts_are_compared(spark, docs, monkeypatch):
+    monkeypatch.setattr(S, "wide_fingerprint", lambda hashes: np.zeros(S.BYTES, dtype=np.uint8))
+    monkeypatch.setattr(S, "KEYS", 1)
+    monkeypatch.setattr(S, "INDEX", S._positions(1, 1))
+    rng = random.Random(6)
+    rows = [(d, " ".join(words_(rng, 50))) for d in range(4)] + [(9, "a b")]
+    rows += [(d + 10, t + " more") for d, t in rows[:4]]
+    assert ids(S.components(docs(rows)).filter("doc_id = component_id")) == [0, 1, 2, 3, 9]
+
+
 def test_a_true_pair_among_false_neighbours(spark, docs):
     rng = random.Random(7)
     base, texts = words_(rng, 300), []
