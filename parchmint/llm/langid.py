@@ -213,7 +213,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs, all columns, without rows that are "und". Nothing is shuffled."""
+    """docs, all columns, without rows that are "und". Nothing is shuffled.
+
+    Unless "und" is a training label, a row is rejected for having no letter alone; neither label nor score decides. Without a
+    model every row is "und" and none is kept.
+    """
     names = docs.columns
     at = names.index("text")
 
