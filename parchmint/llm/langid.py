@@ -2,7 +2,8 @@
 
 The network is trained in numpy by backpropagation through time on a bounded sample: of each language at most
 SAMPLE_DOCS training documents (the smallest hashes of doc_id), SAMPLE_CHARS characters each, from documents whose
-crc32(doc_id as text) mod 4 is not 2. Prediction labels every byte of every whole text, in windows of WINDOW bytes
+crc32(doc_id as text) mod 4 is not 2. Only the MAX_LANGUAGES most frequent labels of these (ties: the smaller label) are
+learned; rarer ones are never predicted, and their documents get another label. Prediction labels every byte of every whole text, in windows of WINDOW bytes
 with a fresh state, and pools the positions' probabilities into the document's.
 
 Defined results: null texts and texts without a letter are "und" with score 0, as is all where no labelled training row
