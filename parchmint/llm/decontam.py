@@ -11,8 +11,11 @@ same part stands in many documents has many seeds that are found nowhere, so tha
 Documents are read once; only seeds and passages leave that scan. The benchmark goes to every executor, so its size is
 checked: up to ITEM_WORDS words at a time, in as many scans as it takes.
 
+An alignment keeps one row of cells, so that its memory is the passage's, however long the item is.
+
 Defined results: null texts and items with no word never match; items shorter than an n-gram are one shorter seed; repeated
-rows and repeated items give one row each; a null doc_id or item_id is kept; extra columns are ignored.
+rows and repeated items give one row each; documents with a null doc_id count as one document, which is reported; a null
+item_id is kept; without documents or items there are no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from parchmint.llm.common import materialize, session_of, sliced, table
 
 SEED_WORDS, RARE_FACTOR, RARE_FLOOR = 3, 4, 8
 MATCH, MISMATCH, GAP = 2, -1, -1
+ONE_POINT = 1 << 30  # of a score, above the number of matching words
 MIN_SCORE = 0.5
 ITEM_WORDS = 500_000
 PASSAGES = "doc_id long, item int, seeds array<int>, passage array<int>"
@@ -60,37 +64,30 @@ class Items:
         n = min(self.n, len(ids))
         if not n:
             return np.empty(0, dtype=np.int64)
-        if len(self.vocabulary) >= 1 << 20:
-            raise ValueError("more words than the n-gram numbers hold")
         grams = np.lib.stride_tricks.sliding_window_view(ids, n)
-        out = np.zeros(len(grams), dtype=np.int64)
-        for j in range(n):
-            out = out << 20 | grams[:, j]
-        return np.where((grams > 0).all(axis=1), out, 0)
+        out, radix = np.zeros(len(grams), dtype=np.int64), np.int64(len(self.vocabulary) + 1)
+        for j in range(n):  # beyond 63 bits this wraps: n-grams may meet under one number, which costs an alignment
+            out = out * radix + grams[:, j]
+        return np.where((grams > 0).all(axis=1), np.where(out == 0, 1, out), 0)
 
 
 def score(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
-    """Smith-Waterman: the best local alignment's score, and its matching words."""
+    """Smith-Waterman: the best local alignment's score, and the most words that an alignment of that score matches.
+
+    A cell holds both in one number, the score above, so that one row of cells is all the memory it takes.
+    """
     if not len(item) or not len(passage):
         return 0, 0
-    k, best, at = np.arange(1, len(passage) + 1), 0, (0, 0)
-    h = np.zeros((len(item) + 1, len(passage) + 1), dtype=np.int32)
-    for i in range(1, len(item) + 1):
-        step = np.where(passage == item[i - 1], MATCH, MISMATCH)
-        row = np.maximum(np.maximum(h[i - 1, :-1] + step, h[i - 1, 1:] + GAP), 0)
-        h[i, 1:] = np.maximum(np.maximum.accumulate(row - GAP * k) + GAP * k, 0)  # gaps along the passage
-        if (top := int(h[i].max())) > best:
-            best, at = top, (i, int(h[i].argmax()))
-    i, j, matched = *at, 0
-    while i and j and h[i, j] > 0:
-        same = item[i - 1] == passage[j - 1]
-        if h[i, j] == h[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            matched, i, j = matched + same, i - 1, j - 1
-        elif h[i, j] == h[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    return best, int(matched)
+    match, mismatch, gap = MATCH * ONE_POINT + 1, MISMATCH * ONE_POINT, GAP * ONE_POINT
+    along = gap * np.arange(1, len(passage) + 1)
+    row, best = np.zeros(len(passage) + 1, dtype=np.int64), 0
+    for word in item:
+        cells = np.maximum(row[:-1] + np.where(passage == word, match, mismatch), row[1:] + gap)
+        cells = np.maximum.accumulate(np.maximum(cells, 0) - along) + along  # gaps along the passage
+        cells[cells < ONE_POINT] = 0
+        row[1:] = cells
+        best = max(best, int(cells.max()))
+    return best // ONE_POINT, best % ONE_POINT
 
 
 def words_shared(item: np.ndarray, passage: np.ndarray) -> int:
@@ -176,7 +173,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
 
 def _one_part(docs: DataFrame, item_ids: list[int | None], items: Items, min_score: float) -> DataFrame:
     found = materialize(passages(docs, items), "passages")
-    df = found.select("doc_id", F.explode("seeds").alias("s")).groupBy("s").agg(F.count("*").alias("n"))
+    df = found.select("doc_id", F.explode("seeds").alias("s")).distinct().groupBy("s").agg(F.count("*").alias("n"))
     rare = rare_seeds(items, {r[0]: r[1] for r in df.collect()})  # one row a seed at most
     words, gram = items.words, items.n
 
