@@ -15,9 +15,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import materialize, table
+from parchmint.functions.arrays import let
+from parchmint.llm.common import HOT_SHARE, joined_to_unique, materialize, table, unused
 
 RULE_VERSION = "1"
+BLOCK = 1024  # matches of a text that are folded or cut out at once
 
 
 @dataclass(frozen=True)
@@ -40,23 +42,39 @@ RULES = (
 )
 
 
+def running(values: Column, start: int, more) -> Column:
+    """more() of start and all values up to each, for an array of ints. In blocks, so that a long array is not copied at each step."""
+
+    def folded(block: Column, at: Column) -> Column:
+        step = lambda acc, x: F.struct(more(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(more(acc["at"], x))).alias("out"))
+        return F.aggregate(block, F.struct(at.alias("at"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+
+    def in_blocks(v: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.slice(v, k * BLOCK + 1, BLOCK))
+
+    def whole(blocks: Column) -> Column:
+        ends = folded(F.transform(blocks, lambda b: F.aggregate(b, F.lit(start), more)), F.lit(start))
+        return let(F.concat(F.array(F.lit(start)), ends), lambda at: F.flatten(F.transform(blocks, lambda b, k: folded(b, F.get(at, k)))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, let(in_blocks(v), whole)).otherwise(v))
+
+
 def spans_of(text: Column, rule: Rule, order: int) -> Column:
-    """array of struct(start, kind_order, kind, end) of one rule's matches in a text."""
+    """array of struct(start, kind_order, kind, end, counted) of one rule's matches in a text."""
     between = F.transform(F.split(text, rule.pattern, -1), F.length)
     whole = F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.length)
     counted = whole if rule.group == 0 else F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)), F.length)
-    kind = F.struct(F.lit(0).alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), F.lit(0).alias("end"), F.lit(0).alias("counted"))
-    none = F.array_repeat(kind, 0)
     each = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("n"), counted.alias("c"))
-    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["n"]
-        span = F.struct(begin.alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), end.alias("end"), x["c"].alias("counted"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def span(x: Column, end: Column) -> Column:
+        return F.struct((end - x["n"]).alias("start"), F.lit(order).alias("kind_order"), F.lit(rule.kind).alias("kind"), end.alias("end"), x["c"].alias("counted"))
+
+    def placed(e: Column) -> Column:
+        ends = running(F.transform(e, lambda x: x["gap"] + x["n"]), 0, lambda a, x: a + x)
+        return F.filter(F.zip_with(e, ends, span), lambda s: s["counted"] >= rule.least)
 
-    found = F.aggregate(each, start, step, lambda acc: F.filter(acc["out"], lambda s: s["counted"] >= rule.least))
-    return F.when(text.rlike(rule.pattern), found).otherwise(none)
+    none = F.array().cast("array<struct<start:int,kind_order:int,kind:string,end:int,counted:int>>")
+    return F.when(text.rlike(rule.pattern), let(each, placed)).otherwise(none)
 
 
 def joined(spans: Column) -> Column:
@@ -65,40 +83,60 @@ def joined(spans: Column) -> Column:
 
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Adds to blobs (sha, text), which it drops, the sorted spans of all rules."""
+    """The sorted spans of all rules in place of the text of blobs (sha, text)."""
     each = F.concat(*[spans_of(F.col("text"), r, i) for i, r in enumerate(rules)])
-    return blobs.select("sha", F.array_sort(each).alias("spans"))
+    return blobs.select(*[c for c in blobs.columns if c != "text"], F.array_sort(each).alias("spans"))
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
     """(new ledger rows (sha, rule_version, spans), paths with their spans). docs: doc_id, text, one row per version."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("sha", F.sha2("text", 256))
     paths = rows.select("doc_id", "sha")
-    unseen = paths.groupBy("sha").agg(F.min("doc_id").alias("first_id"))
+    unseen = paths.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("_n"))
     if ledger is not None:
         unseen = unseen.join(ledger.filter(F.col("rule_version") == version).select("sha"), "sha", "left_anti")
-    one = rows.alias("r").join(unseen.alias("u"), (F.col("r.sha") == F.col("u.sha")) & F.col("r.doc_id").eqNullSafe(F.col("u.first_id")), "left_semi")
-    found = scan_blobs(one.select("sha", "text"), rules).groupBy("sha").agg(F.first("spans").alias("spans"))
-    new = materialize(found.select("sha", F.lit(version).alias("rule_version"), "spans"), "ledger")
-    known = new if ledger is None else new.unionByName(ledger.filter(F.col("rule_version") == version).select(new.columns))
-    hits = known.filter(F.size("spans") > 0).select("sha", "spans")
-    return new, paths.join(hits, "sha", "left").select("doc_id", "sha", F.coalesce("spans", F.array_repeat(F.lit(None).cast(new.schema["spans"].dataType.elementType), 0)).alias("spans"))
+    first = (F.col("r.sha") == F.col("u.sha")) & F.col("r.doc_id").eqNullSafe(F.col("u.first_id"))
+    one = rows.alias("r").join(unseen.alias("u"), first).select("r.sha", "r.text", "u._n")
+    found = scan_blobs(one, rules).groupBy("sha").agg(F.first("spans").alias("spans"), F.first("_n").alias("_n"))
+    counted = materialize(found.select("sha", F.lit(version).alias("rule_version"), "spans", "_n"), "ledger")
+    new = counted.drop("_n")
+    known = counted if ledger is None else counted.unionByName(ledger.filter(F.col("rule_version") == version).select(*new.columns, F.lit(0).cast("long").alias("_n")))
+    total = counted.agg(F.sum("_n")).first()[0] or 0
+    hits = known.filter((F.size("spans") > 0) | (F.col("_n") * HOT_SHARE > total)).select("sha", "spans", "_n")
+    none = F.array().cast(new.schema["spans"].dataType)
+    return new, joined_to_unique(paths, hits, "sha", total, ["doc_id"]).select("doc_id", "sha", F.coalesce("spans", none).alias("spans"))
+
+
+def without(text: Column, spans: Column, mark: str) -> Column:
+    """text with mark in place of each of the sorted spans, overlapping ones as one. Blocks of spans are cut out of one piece of text."""
+
+    def piece(part: Column, base: Column, x: Column) -> Column:
+        kept = F.concat(F.substring(part, x["from"] - base + 1, x["start"] - x["from"]), F.lit(mark))
+        return F.when(x["start"] >= x["from"], kept).otherwise("")
+
+    def block(xs: Column) -> Column:
+        base = F.get(xs, F.lit(0))["from"]
+        part = F.substring(text, base + 1, F.greatest(F.element_at(xs, -1)["start"] - base, F.lit(0)))
+        return let(F.struct(base.alias("base"), part.alias("part"), xs.alias("xs")), lambda b: F.array_join(F.transform(b["xs"], lambda x: piece(b["part"], b["base"], x)), ""))
+
+    def cut(s: Column) -> Column:
+        ends, starts = s["ends"], F.transform(s["spans"], lambda x: x["start"])
+        pairs = F.zip_with(F.concat(F.array(F.lit(0)), F.slice(ends, 1, F.size(ends) - 1)), starts, lambda a, b: F.struct(a.alias("from"), b.alias("start")))
+        blocks = let(pairs, lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda k: block(F.slice(p, k * BLOCK + 1, BLOCK))))
+        return F.concat(F.array_join(blocks, ""), F.substring(text, F.element_at(ends, -1) + 1, F.length(text)))
+
+    ends = running(F.transform(spans, lambda x: x["end"]), 0, lambda a, x: F.greatest(a, x))
+    return let(F.struct(spans.alias("spans"), ends.alias("ends")), cut)
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> DataFrame:
     """docs, all columns, with every span in text replaced by mark (overlapping spans by one)."""
-    rows = docs.withColumn("_sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    sha, spans = unused("sha", docs.columns), unused("spans", docs.columns)
+    rows = docs.withColumn(sha, F.sha2(F.coalesce("text", F.lit("")), 256))
     found, _ = scan(docs, rules=rules)
-    hits = found.filter(F.size("spans") > 0).select(F.col("sha").alias("_sha"), F.col("spans").alias("_spans"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        add = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit(mark))).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], add).alias("out"))
+    hits = found.filter(F.size("spans") > 0).select(F.col("sha").alias(sha), F.col("spans").alias(spans))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    return rows.join(hits, "_sha", "left").withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(clean)).select(docs.columns)
+    return rows.join(hits, sha, "left").withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(without(F.col("text"), F.col(spans), mark))).select(docs.columns)
 
 
 def digest(found: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import arrow_map, materialize, table
+from parchmint.llm.common import arrow_map, joined_to_unique, materialize, table
 from parchmint.llm.components import connected_components
 
 BITS, BYTES, MAX_DIFFERENT, SEED = 64, 8, 2, 42
@@ -153,13 +153,13 @@ def links(fps: DataFrame, most: int = MAX_DIFFERENT) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 3, most: int = MAX_DIFFERENT) -> DataFrame:
     """doc_id, fp and component_id, the smallest doc_id reachable over links of at most `most` differing bits."""
     fps = materialize(fingerprints(docs, words), "fingerprints")
-    first = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    first = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("_n")), "distinct")
     labels = connected_components(links(first.select("fp"), most))
-    rooted = first.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("label", "fp").alias("root"))
+    rooted = first.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "_n", "first_id", F.coalesce("label", "fp").alias("root"))
     rooted = materialize(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = materialize(rooted.join(smallest, "root").select("fp", "component_id"), "classes")
-    return fps.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = materialize(rooted.join(smallest, "root").select("fp", "_n", "component_id"), "classes")
+    return joined_to_unique(fps, classes, "fp", fps.count(), ["doc_id"]).select("doc_id", "fp", "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,14 @@
 """Operator 10, WARC archives of individually compressed records with an embedded Zstandard dictionary.
 
-A dictionary is trained on the records of a bounded sample (SAMPLE_PAGES of the smallest hashes of page_id,
-SAMPLE_BYTES of each payload) and put into
-the leading skippable frame of every archive; each record is one frame. Of equal payloads of at least
-MIN_REVISIT bytes the smallest page_id is a response and the others are revisits. Archives are rows
-(archive, content) of a Parquet table, which any shared store holds and Spark commits atomically; export() writes
-them as .warc.zst files.
+A dictionary is trained on the records of a bounded sample (SAMPLE_PAGES distinct pages of the smallest hashes, SAMPLE_BYTES
+of each payload) and put into the leading skippable frame of every archive; each record is one frame. Of equal payloads of
+at least MIN_REVISIT bytes the smallest page_id is a response and the others are revisits; pages of a payload that very many
+have are dealt out evenly. Archives are rows (archive, content) of a Parquet table, which any shared store holds and Spark commits atomically; export()
+writes them as .warc.zst files.
 
 Defined results: null html is an empty payload; null url leaves the target header out; repeated rows of the smallest
-page_id are all responses; pages with a null page_id are revisits of any other equal page; an empty table gives no archive.
+page_id are all responses; pages with a null page_id are revisits of any other equal page, and responses where no equal page
+has an id; a payload of any length is one record; an empty table gives no archive; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import materialize, sliced, table
+from parchmint.llm.common import joined_to_unique, materialize, sliced, table
 
 SAMPLE_PAGES, SAMPLE_BYTES, DICTIONARY_BYTES = 256, 16_384, 32_768
 MIN_REVISIT = 100
@@ -103,14 +103,17 @@ def parse(rec: bytes) -> dict:
 def write_archives(pages: DataFrame, date: str = "2026-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """A stable table (archive, content) of the pages' records. pages: page_id, url, html."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    drawn = F.xxhash64("page_id").bitwiseAND(F.lit((1 << 30) - 1))
-    share = int(min(1.0, 1.5 * SAMPLE_PAGES / max(1, pages.count())) * (1 << 30))
-    sampled = pages.filter(drawn < share).select(drawn, F.substring("payload", 1, SAMPLE_BYTES), F.col("page_id"), F.col("url")).collect()
-    samples = [(bytes(r[1]), r[2], r[3]) for r in sorted(sampled, key=lambda r: (r[0], bytes(r[1])))[:SAMPLE_PAGES]]
+    n_pages = pages.count()
+    head = pages.select("page_id", "url", F.substring("payload", 1, SAMPLE_BYTES).alias("head"))
+    drawn = F.xxhash64("page_id", "url", "head").bitwiseAND(F.lit((1 << 30) - 1))  # of all there is, so that no id is drawn whole
+    share = int(min(1.0, 1.5 * SAMPLE_PAGES / max(1, n_pages)) * (1 << 30))
+    sampled = head.filter(drawn < share).distinct().orderBy(drawn, "page_id", "url", "head").limit(SAMPLE_PAGES).collect()
+    samples = [(bytes(r["head"]), r["page_id"], r["url"]) for r in sampled]
     raw = train([record(i, u, x, hashlib.sha256(x).hexdigest(), len(x), False, None, date) for x, i, u in samples])
     pages = pages.withColumn("digest", F.sha2("payload", 256)).withColumn("n_bytes", F.length("payload"))
-    same = pages.filter(F.col("n_bytes") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("_n"))
-    rows = pages.join(same.filter("_n > 1").drop("_n"), "digest", "left").select("page_id", "url", "payload", "digest", "n_bytes", "first_id")
+    first = F.when(F.first("n_bytes") >= MIN_REVISIT, F.min("page_id"))
+    same = pages.groupBy("digest").agg(first.alias("first_id"), F.count("*").alias("_n")).filter("_n > 1")
+    rows = joined_to_unique(pages, same, "digest", n_pages, ["page_id", "url"]).select("page_id", "url", "payload", "digest", "n_bytes", "first_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=LEVEL, write_content_size=True, **_dictionary(raw)).compress
