@@ -5,16 +5,17 @@ A byte goes when it is covered by a LENGTH-byte string that also starts in a doc
 A suffix array of the whole corpus fits no task, so the strings are first dealt to independent buckets: the anchor of
 a string is the smallest hash among its GRAM-byte grams, and equal strings have equal anchors. Consecutive strings with
 one anchor form a segment. Anchors of one document alone are told apart by a first exchange that carries 32 bits an
-anchor. An anchor that more than HOT_CHUNKS chunks have, such as the edge of a passage in a third of all documents, would
+anchor. An anchor with more than HOT_PLACES places, such as the edge of a passage in a third of all documents, would
 gather the different surroundings of all its places in one bucket; a second exchange tells its strings apart one by one,
-over all buckets. Only strings that two documents can share go on, each distinct segment of a chunk once, with its
+over all buckets. (A chunk counts as one place, or as HOT_PLACES if it has as many.) Only strings that two documents can share go on, each distinct segment of a chunk once, with its
 smallest doc_id, so that a passage in a third of all documents is a few entries a chunk.
 
 In a bucket the distinct segments are cut into shards. Each shard's transform is built alone (rotations sorted to LENGTH
 bytes). The merge keeps one shard number for each place: a round reads the transforms in the present interleave and
-stably reorders it by what was read, which sorts it by one more symbol (two bytes); after LENGTH / 2 rounds, or when it no
-longer changes, the interleave is that of all suffixes, none of which was compared. Neighbours with a common prefix
-of LENGTH bytes form the repeated intervals, whose smallest doc_id is the answer for all strings in them. An anchor with
+stably reorders it by what was read, which sorts it by one more symbol (two bytes). Neighbours begin alike in one symbol more
+than before if they were read as the same symbol, and came from neighbours that began alike: so the rounds give the common
+prefixes too. After LENGTH / 2 rounds the interleave is that of all suffixes, none of which was compared, and places that
+still begin alike form the repeated intervals, whose smallest doc_id is the answer for all strings in them. An anchor with
 one distinct segment is such an interval already.
 
 Defined results: null and empty texts lose nothing; rows with equal doc_id do not remove each other's bytes; a null doc_id
@@ -39,7 +40,7 @@ LENGTH, GRAM = 50, 24  # GRAM: a multiple of 8
 SLAB = 1 << 20
 BUCKET_BYTES = 8 << 20
 SHARD_BYTES, MAX_SHARDS = 32_768, 250
-HOT_CHUNKS = 64
+HOT_PLACES = 64
 LAST = np.iinfo(np.int64).max  # stands for a null doc_id
 SEPARATOR = 0xFF  # UTF-8 never has it
 KEYS = "kind int, bucket int, chunk long, keys binary"
@@ -101,17 +102,17 @@ def ids_of(chunk: Chunk) -> np.ndarray:
     return np.array([LAST if d is None else d for d in chunk.doc_ids], dtype=np.int64)
 
 
-def distinct_keys(keys: np.ndarray, rows: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct keys ordered by bucket and value, bucket of each, whether several rows have it)."""
+def distinct_keys(keys: np.ndarray, rows: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys ordered by bucket and value, bucket of each, whether several rows have it, whether it has many places)."""
     order = np.lexsort((rows, keys))
     k, r = keys[order], rows[order]
     new = np.r_[True, k[1:] != k[:-1]] if len(k) else np.zeros(0, dtype=bool)
-    several = np.zeros(new.sum(), dtype=bool)
+    several, many = np.zeros(new.sum(), dtype=bool), np.diff(np.r_[np.flatnonzero(new), len(k)]) >= HOT_PLACES
     if len(k):
         several[(np.cumsum(new) - 1)[1:][(~new[1:]) & (r[1:] != r[:-1])]] = True
     bucket = (k[new] >> np.uint64(32)) % np.uint64(buckets)
     o = np.argsort(bucket, kind="stable")
-    return k[new][o], bucket[o], several[o]
+    return k[new][o], bucket[o], several[o], many[o]
 
 
 def _cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
@@ -121,16 +122,16 @@ def _cuts(bucket: np.ndarray) -> list[tuple[int, int, int]]:
 
 
 def _send(kind: int, chunk: Chunk, keys: np.ndarray, rows: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """31 bits of each distinct key, which tell a bucket's keys apart well enough, and whether several rows have it."""
-    distinct, bucket, several = distinct_keys(keys, rows, buckets)
-    key = (distinct.astype(np.uint32) & np.uint32(0xFFFFFFFE)) | several.astype(np.uint32)
+    """30 bits of each distinct key, which tell a bucket's keys apart well enough, whether it has many places and several rows."""
+    distinct, bucket, several, many = distinct_keys(keys, rows, buckets)
+    key = (distinct.astype(np.uint32) & np.uint32(0xFFFFFFFC)) | many.astype(np.uint32) << np.uint32(1) | several.astype(np.uint32)
     for b, x, y in _cuts(bucket):
         yield kind, b, chunk.id, key[x:y].tobytes()
 
 
 def _told(kind: int, keys: np.ndarray, rows: np.ndarray, buckets: int, replies: dict) -> tuple[np.ndarray, np.ndarray]:
     """Of each key: whether two rows of the corpus have it, and whether it is hot."""
-    distinct, bucket, _ = distinct_keys(keys, rows, buckets)
+    distinct, bucket, _, _ = distinct_keys(keys, rows, buckets)
     bits = np.zeros((2, len(distinct)), dtype=bool)
     for b, x, y in _cuts(bucket):
         half = np.frombuffer(replies[kind, b], dtype=np.uint8).reshape(2, -1)
@@ -149,11 +150,12 @@ def shared_keys(rows: pa.Table) -> pa.Table:
     """For each chunk's keys in a bucket a bit each for shared, and then a bit each for hot."""
     keys = [np.frombuffer(x, dtype="<u4") for x in rows.column("keys").to_pylist()]
     every = np.concatenate(keys)
-    _, place, n = np.unique(every >> 1, return_inverse=True, return_counts=True)
+    _, place, n = np.unique(every >> 2, return_inverse=True, return_counts=True)
     several = n > 1
     several[place[every & 1 == 1]] = True
+    hot = n + np.bincount(place[every & 2 == 2], minlength=len(n)) * HOT_PLACES > HOT_PLACES
     ends = np.cumsum([len(k) for k in keys])[:-1]
-    bits = [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(several[place], ends), np.split((n > HOT_CHUNKS)[place], ends))]
+    bits = [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(several[place], ends), np.split(hot[place], ends))]
     return pa.table([rows.column("kind"), rows.column("bucket"), rows.column("chunk"), pa.array(bits, type=pa.binary())], names=["kind", "bucket", "chunk", "keys"])
 
 
@@ -227,21 +229,24 @@ def sorted_rotations(text: np.ndarray, before: np.ndarray) -> tuple[np.ndarray,
     return at, pair[at]
 
 
-def merged(transforms: list[np.ndarray]) -> np.ndarray:
-    """The interleave of shards' transforms, as the place in their concatenation of each merged suffix."""
+def merged(transforms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The interleave of shards' transforms, as the place in their concatenation of each merged suffix, and where intervals begin.
+
+    An interval is of suffixes that begin with the same LENGTH bytes.
+    """
     symbols = np.concatenate(transforms)
     shard = np.repeat(np.arange(len(transforms), dtype=np.uint8), [len(t) for t in transforms])
-    if len(transforms) > 1:
-        read = np.empty_like(symbols)
-        for _ in range(LENGTH // 2):
-            read[np.argsort(shard, kind="stable")] = symbols  # each shard's transform in its own order
-            finer = shard[np.argsort(read, kind="stable")]
-            if np.array_equal(finer, shard):
-                break
-            shard = finer
+    read, interval = np.empty_like(symbols), np.zeros(len(symbols), dtype=np.int32)
+    for _ in range(LENGTH // 2):
+        read[np.argsort(shard, kind="stable")] = symbols  # each shard's transform in its own order
+        order = np.argsort(read, kind="stable")
+        of, was = read[order], interval[order]
+        shard = shard[order]
+        begins = np.r_[True, (of[1:] != of[:-1]) | (was[1:] != was[:-1])]
+        interval = np.cumsum(begins, dtype=np.int32)
     out = np.empty(len(symbols), dtype=np.int64)
     out[np.argsort(shard, kind="stable")] = np.arange(len(symbols))
-    return out
+    return out, begins
 
 
 def least_docs(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
@@ -260,16 +265,13 @@ def least_docs(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
         at, pair = sorted_rotations(text[a:b], before[a:b] - np.int32(a))
         places.append(at + a)
         transforms.append(pair)
-    order = np.concatenate(places)[merged(transforms)]
+    order, begins = merged(transforms)
+    order = np.concatenate(places)[order]
     owner = np.repeat(np.arange(len(texts)), sizes)
     strings = (np.arange(n) - starts[owner]) <= sizes[owner] - 1 - LENGTH
+    interval = np.cumsum(begins)[strings[order]]  # suffixes that end before LENGTH bytes are in none
     order = order[strings[order]]
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(text, 8)).view("<u8").ravel()
-    same = np.ones(max(0, len(order) - 1), dtype=bool)
-    for j in (*range(0, LENGTH - 8, 8), LENGTH - 8):
-        x = words[order + j]
-        same &= x[1:] == x[:-1]
-    begin = np.flatnonzero(np.r_[True, ~same])
+    begin = np.flatnonzero(np.diff(interval, prepend=-1))
     least = np.empty(n, dtype=np.int64)
     least[order] = np.repeat(np.minimum.reduceat(docs[owner[order]], begin), np.diff(np.r_[begin, len(order)]))
     return [least[a : a + s - LENGTH] for a, s in zip(starts.tolist(), sizes.tolist())]

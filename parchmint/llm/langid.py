@@ -1,10 +1,10 @@
 """Operator 7, language ID by a bidirectional gated recurrent network over UTF-8 bytes.
 
 The network is trained in numpy by backpropagation through time on a bounded sample: of each language at most
-SAMPLE_DOCS training documents (the smallest hashes of doc_id), SAMPLE_CHARS characters each, from documents whose
-crc32(doc_id as text) mod 4 is not 2. Only the MAX_LANGUAGES most frequent labels of these (ties: the smaller label) are
-learned; rarer ones are never predicted, and their documents get another label. Prediction labels every byte of every whole text, in windows of WINDOW bytes
-with a fresh state, and pools the positions' probabilities into the document's.
+SAMPLE_DOCS distinct training documents (the smallest hashes), of each a window of SAMPLE_CHARS characters at a place drawn by
+hash, from documents whose crc32(doc_id as text) mod 4 is not 2. Every label of these is learned, however rare; a table with
+more than MAX_LABELS of them is refused, as its labels aren't languages. Prediction labels every byte of every whole text, in
+windows of WINDOW bytes with a fresh state, and pools the positions' probabilities into the document's.
 
 Defined results: null texts and texts without a letter are "und" with score 0, as is all where no labelled training row
 exists; repeated rows are predicted alike; a null doc_id is predicted and held_out is null; extra columns are ignored.
@@ -17,13 +17,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parchmint.llm.common import arrow_map, table
+from parchmint.llm.common import arrow_map, materialize, table
 
-SAMPLE_DOCS, SAMPLE_CHARS, MAX_LANGUAGES = 200, 4096, 256
+SAMPLE_DOCS, SAMPLE_CHARS, MAX_LABELS = 200, 4096, 65_536
 HIDDEN, WINDOW, SLAB = 8, 64, 4096
+SLAB_LABELS = 16  # more labels make slabs smaller, so that a slab's probabilities keep their size
+STEP_LABELS = 64  # more labels make as many times more steps
 STEPS, BATCH, TRAIN_WINDOW, RATE, SEED = 500, 256, 32, 0.02, 7
 UNKNOWN = "und"
 LETTER = regex.compile(r"\p{L}")
@@ -159,10 +161,11 @@ def pooled(m: Model, texts: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b"".join(t.ljust(int(w) * WINDOW, b"\0") for t, w in zip(texts, windows)), dtype=np.uint8).reshape(-1, WINDOW)
     left = np.repeat(sizes, windows) - (np.arange(len(data)) - np.repeat(np.cumsum(windows) - windows, windows)) * WINDOW
     owner, total = np.repeat(np.arange(len(texts)), windows), np.zeros((len(texts), len(m.languages)))
-    for at in range(0, len(data), SLAB):
-        p = position_probabilities(m, np.ascontiguousarray(data[at : at + SLAB].T))
-        p *= (np.arange(WINDOW)[:, None] < left[None, at : at + SLAB])[:, None]
-        np.add.at(total, owner[at : at + SLAB], p.sum(axis=0).T)
+    slab = max(1, SLAB * SLAB_LABELS // max(SLAB_LABELS, len(m.languages)))
+    for at in range(0, len(data), slab):
+        p = position_probabilities(m, np.ascontiguousarray(data[at : at + slab].T))
+        p *= (np.arange(WINDOW)[:, None] < left[None, at : at + slab])[:, None]
+        np.add.at(total, owner[at : at + slab], p.sum(axis=0).T)
     return total / sizes[:, None]
 
 
@@ -184,16 +187,18 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 def fit(docs: DataFrame) -> Model | None:
     """Train on the bounded sample of labelled rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL").filter(~held_out(F.col("doc_id")))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()}
-    if not counts:
-        return None
-    drawn = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 30) - 1))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, 1.5 * SAMPLE_DOCS / n) * (1 << 30)))])
-    got = rows.filter(drawn < share[F.col("lang")]).select("lang", drawn.alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("text")).collect()
-    by: dict[str, list] = {}
-    for r in sorted(got, key=lambda r: (r["lang"], r["h"], r["text"])):
-        by.setdefault(r["lang"], []).append(r["text"])
-    return train([(t, k) for k, texts in by.items() for t in texts[:SAMPLE_DOCS]])
+    counts = materialize(rows.groupBy("lang").count(), "labels")
+    n = counts.count()
+    if n > MAX_LABELS:
+        raise ValueError(f"{n} labels are more than the {MAX_LABELS} that lang may have")
+    drawn = F.xxhash64("doc_id", "text").bitwiseAND(F.lit((1 << 30) - 1))
+    at = F.pmod(F.xxhash64("doc_id"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    share = F.least(F.lit(1.0), 1.5 * SAMPLE_DOCS / F.col("count")) * (1 << 30)
+    some = rows.join(F.broadcast(counts), "lang").withColumn("h", drawn).filter(F.col("h") < share)  # MAX_LABELS rows at most
+    some = some.select("lang", "h", F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("text")).distinct()
+    first = Window.partitionBy("lang").orderBy("h", "text")
+    got = some.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= SAMPLE_DOCS).collect()
+    return train([(r["text"], r["lang"]) for r in sorted(got, key=lambda r: (r["lang"], r["rank"]))], steps=STEPS * max(1, -(-n // STEP_LABELS)))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -213,17 +218,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs))
 
 
-def keep_known(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs, all columns, without rows that are "und". Nothing is shuffled.
+def keep_known(docs: DataFrame, model: Model | None, wanted: frozenset[str] | None = None, least: float = 0.0) -> DataFrame:
+    """docs, all columns, whose predicted language is known, wanted (None: any) and has a score of `least` or more. Nothing is shuffled.
 
-    Unless "und" is a training label, a row is rejected for having no letter alone; neither label nor score decides. Without a
-    model every row is "und" and none is kept.
+    A text without a letter is "und", which is not known unless it is a training label; without a model every row is.
     """
     names = docs.columns
     at = names.index("text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        texts = b.column(at).to_pylist()
-        return b.filter(pa.array([bool(model and pred != UNKNOWN) for pred, _ in labels(model, texts)], type=pa.bool_()))
+        found = labels(model, b.column(at).to_pylist())
+        return b.filter(pa.array([bool(model and k != UNKNOWN and (wanted is None or k in wanted) and p >= least) for k, p in found], type=pa.bool_()))
 
     return arrow_map(docs, run, docs.schema)

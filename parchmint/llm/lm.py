@@ -7,8 +7,8 @@ of its symbols' under the counts of all training documents, its end included.
 
 Nothing is sampled and no task holds the corpus's trie. Chunks of documents send their distinct words and their
 trie's leaves, with counts, to hash buckets; a bucket has all contexts of its middle bytes, computes probabilities for
-every leaf asked for and answers each chunk in its own order. Only the trie of order 2, at most 256**3 counts whatever the
-input's size, goes to every task.
+every leaf asked for and answers each chunk in its own order. Only the trie of order 2, at most LOW_KEYS counts whatever the
+input's size, is broadcast. Probabilities are 64-bit numbers throughout; an answer holds its distinct ones and a place for each leaf.
 
 Defined results: null and empty texts are their end alone; repeated rows are learned from and scored each; a null doc_id is
 held out (its held_out is null); without training documents N is 0 and the model is uniform; extra columns are ignored.
@@ -16,12 +16,15 @@ held out (its held_out is null); without training documents N is 0 and the model
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,6 +36,7 @@ BEGIN, END = 0xFE, 0xFF  # bytes that UTF-8 never has
 SYMBOLS = 256 - 1  # all but BEGIN can follow
 FOLDS, FOLD, ADD = 10, 0, 0.1
 WORDS, LEAVES, LOW = 0, 1, 2
+LOW_KEYS = 256**3
 DENSE_NODES = 1 << 26  # table entries up to which a trie level is numbered by a table, beyond by sorting
 SENT = "kind int, bucket int, chunk long, keys binary, counts binary"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -131,7 +135,9 @@ class Low:
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         order = np.argsort(keys)
-        self.keys, self.n = keys[order].astype(np.int64), counts[order].astype(np.int64)
+        if len(keys) > LOW_KEYS:
+            raise ValueError("more contexts of two bytes and symbols than there are")
+        self.keys, self.n = keys[order].astype(np.int32), counts[order].astype(np.int64)
         self.total, self.distinct, self.c = {}, {}, {2: (self.keys, self.n)}
         for k in (1, 0):
             ks, inv = np.unique(self.keys & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
@@ -148,7 +154,7 @@ class Low:
         ks, ns = self.c[k]
         if not len(ks):
             return np.zeros(len(keys), dtype=np.int64)
-        at = np.minimum(np.searchsorted(ks, keys), len(ks) - 1)
+        at = np.minimum(np.searchsorted(ks, keys.astype(ks.dtype)), len(ks) - 1)
         return np.where(ks[at] == keys, ns[at], 0)
 
     def log_p(self, key: np.ndarray, gone: np.ndarray, gone_distinct: np.ndarray) -> np.ndarray:
@@ -198,11 +204,20 @@ def _summed(rows: pa.Table, distinct: np.ndarray, place: np.ndarray, kind: str)
     return np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
 
 
-def _pieces(rows: pa.Table, values: np.ndarray, sizes: list[int]) -> list[bytes]:
-    return [x.tobytes() for x in np.split(values, np.cumsum(sizes)[:-1])]
+def coded(values: np.ndarray) -> bytes:
+    """Doubles, of which few are distinct, as the distinct ones and a place for each."""
+    distinct, place = np.unique(values, return_inverse=True)
+    wide = "<u2" if len(distinct) <= 1 << 16 else "<u4"
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<II", len(distinct), int(wide[2])) + distinct.astype("<f8").tobytes() + place.astype(wide).tobytes())
 
 
-def answers(low: Low):
+def decoded(answer: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(answer)
+    n, wide = struct.unpack_from("<II", raw)
+    return np.frombuffer(raw, dtype="<f8", count=n, offset=8)[np.frombuffer(raw, dtype=f"<u{wide}", offset=8 + 8 * n)]
+
+
+def answers(low: Broadcast):
     """For a bucket: each chunk's words' global counts, or its leaves' log10 probabilities, in the chunk's order."""
     names = ["kind", "bucket", "chunk", "answer", "n_tokens", "n_distinct"]
 
@@ -220,8 +235,8 @@ def answers(low: Low):
         else:
             keys = [np.frombuffer(x, dtype="<u8") for x in rows.column("keys").to_pylist()]
             ks, place = np.unique(np.concatenate(keys), return_inverse=True)
-            p = leaf_log_p(ks, _summed(rows, ks, place, "<u4"), low).astype("<f4")
-            out = _pieces(rows, p[place], [len(k) for k in keys])
+            p = leaf_log_p(ks, _summed(rows, ks, place, "<u4"), low.value)
+            out = [coded(x) for x in np.split(p[place], np.cumsum([len(k) for k in keys])[:-1])]
         zeros = [0] * (m - 1)
         cols = ([kind] * m, [bucket] * m, rows.column("chunk").to_pylist(), out, [tokens, *zeros], [distinct, *zeros])
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
@@ -248,7 +263,7 @@ def scored(chunk: Chunk, got: dict[tuple[int, int], bytes], buckets: int, n_toke
     keys, leaf, n, _ = leaves_of(chunk)
     bs, p = bucket_of(keys, buckets), np.empty(len(keys))
     for b in np.unique(bs):
-        p[bs == b] = np.frombuffer(got[LEAVES, int(b)], dtype="<f4")
+        p[bs == b] = decoded(got[LEAVES, int(b)])
     score = np.add.reduceat(p[leaf], np.cumsum(n) - n)
     for k, (d, w) in enumerate(zip(chunk.doc_ids, texts)):
         at = np.array([*map(index.__getitem__, w), len(c) - 1])
@@ -263,8 +278,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     messages = materialize(chunks.mapInArrow(per_chunk(lambda c: sent(c, buckets), ["kind", "bucket", "chunk", "keys", "counts"], kinds), SENT), "counts", "lz4")
     learned = F.crc32(F.col("d").cast("string").cast("binary")) % FOLDS != FOLD
     n_docs = chunks.select(F.explode("doc_ids").alias("d")).filter(learned).count()
-    rows = messages.filter(F.col("kind") == LOW).groupBy("bucket").applyInArrow(_low, "keys binary, counts binary").collect()  # 256**3 counts at most
+    rows = messages.filter(F.col("kind") == LOW).groupBy("bucket").applyInArrow(_low, "keys binary, counts binary").collect()  # LOW_KEYS counts at most
     low = Low(*(np.concatenate([np.frombuffer(r[i], dtype=k) for r in rows] or [np.empty(0, dtype=k)]) for i, k in ((0, "<i4"), (1, "<i8"))))
+    low = chunks.sparkSession.sparkContext.broadcast(low)
     asked = messages.filter(F.col("kind") != LOW).groupBy("kind", "bucket")
     replies = materialize(asked.applyInArrow(answers(low), "kind int, bucket int, chunk long, answer binary, n_tokens long, n_distinct long"), "answers", "lz4")
     sums = replies.agg(F.sum("n_tokens"), F.sum("n_distinct")).first()

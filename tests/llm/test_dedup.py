@@ -46,7 +46,7 @@ def corpus(seed):
 @pytest.mark.parametrize("hot, chunk, gram", [(64, 4 << 20, 24), (0, 700, 24), (1, 400, 16)])
 def test_equals_brute_force(spark, docs, monkeypatch, hot, chunk, gram):
     """Nulls, empty texts, repeated rows, ties and periodic texts; hot anchors, many chunks and small shards as well."""
-    monkeypatch.setattr(D, "HOT_CHUNKS", hot)
+    monkeypatch.setattr(D, "HOT_PLACES", hot)
     monkeypatch.setattr(D, "SHARD_BYTES", 500)
     made = D.chunked
     monkeypatch.setattr(D, "chunked", lambda df: made(df, chunk))

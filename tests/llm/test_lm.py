@@ -45,7 +45,7 @@ def brute(rows):
 def check(got, rows):
     key = lambda r: (repr(r[0]), r[2], round(r[5], 6))
     for g, w in zip(sorted(map(tuple, got), key=key), sorted(brute(rows), key=key), strict=True):
-        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-5, abs=1e-4)
+        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-9) and g[6] == pytest.approx(w[6], rel=1e-9)
 
 
 @pytest.mark.parametrize("chunk", [4 << 20, 300])
