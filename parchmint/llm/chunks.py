@@ -1,4 +1,8 @@
-"""Documents packed into compressed chunks, so that exchanges carry arrays of a chunk and not rows of a word or byte."""
+"""Documents packed into compressed chunks, so that exchanges carry arrays of a chunk and not rows of a word or byte.
+
+The table of chunks is bucketed by their ids, which are drawn so that a task's chunks lie in as few buckets as keep all
+buckets filled: it writes one file or, where there are fewer tasks than buckets, its share of them.
+"""
 
 from __future__ import annotations
 
@@ -8,6 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,14 +22,40 @@ CHUNK_BYTES = 4 << 20
 SCHEMA = "chunk long, doc_ids array<long>, sizes array<long>, n_bytes long, data binary"
 
 
+def bucket_numbers(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that Spark puts each long into: its 32-bit Murmur3 hash, seed 42, modulo buckets."""
+    turned = lambda x, r: (x << np.uint32(r)) | (x >> np.uint32(32 - r))
+    u, h = ids.astype(np.uint64), np.full(len(ids), 42, dtype=np.uint32)
+    for half in ((u & np.uint64(0xFFFFFFFF)).astype(np.uint32), (u >> np.uint64(32)).astype(np.uint32)):
+        h ^= turned(half * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+        h = turned(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ (h >> np.uint32(shift))) * np.uint32(by)
+    return (h ^ (h >> np.uint32(16))).astype(np.int32).astype(np.int64) % buckets
+
+
+def new_id(bucket: int, buckets: int) -> int:
+    """A random long that Spark puts into this bucket."""
+    while True:
+        first = uuid.uuid4().int >> 66
+        fits = np.flatnonzero(bucket_numbers(first + np.arange(4 * buckets), buckets) == bucket)
+        if len(fits):
+            return first + int(fits[0])
+
+
 def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """A stable table of chunks of at least chunk_bytes, or what a task has; null texts are empty. docs: doc_id, text."""
+    buckets, tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, docs.rdd.getNumPartitions())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, texts, size = [], [], 0
+        ids, texts, size, made = [], [], 0, 0
+        task = TaskContext.get().partitionId()
 
         def chunk() -> pa.RecordBatch:
             data = zstandard.ZstdCompressor(level=1).compress(b"".join(texts))
-            cols = ([uuid.uuid4().int >> 65], [ids], [[len(t) for t in texts]], [size], [data])
+            own = new_id((task + tasks * (made % -(-buckets // tasks))) % buckets, buckets)
+            cols = ([own], [ids], [[len(t) for t in texts]], [size], [data])
             kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(cols, kinds)], ["chunk", "doc_ids", "sizes", "n_bytes", "data"])
 
@@ -35,7 +66,7 @@ def chunked(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
                 size += len(texts[-1])
                 if size >= chunk_bytes:
                     yield chunk()
-                    ids, texts, size = [], [], 0
+                    ids, texts, size, made = [], [], 0, made + 1
         if ids:
             yield chunk()
 
