@@ -1,7 +1,7 @@
 """Named queries over the driver's tables and, where SQL can express them, their oracles.
 
-Every query reads whole tables. Queries without an oracle are folds whose result depends on order, image kernels and files;
-tests hold them against definitions written out on small inputs.
+Every query reads whole tables. Queries without an oracle are image kernels; tests hold them against definitions written out
+on small inputs.
 """
 
 from __future__ import annotations
@@ -92,9 +92,26 @@ def suspicious_top10(spark, sf_dir):
     return lines.suspicious_lines(rows, ["doc_id"], "line_ix").select("doc_id", "line_ix", "rank", "text")
 
 
-@query()
+_CURVED_LINES = f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY line_ix) AS i, x FROM (SELECT doc_id, line_ix, {D.sql_normal('t')} AS x FROM (SELECT doc_id, line_ix, {D.CURVED} AS t FROM ({D.SQL_LINES}))) WHERE x <> ''"
+_CLEANED_LINES = f"""
+WITH l AS ({_CURVED_LINES}),
+r AS (
+  SELECT doc_id, i, {D.sql_replace('x', P.ROTATED, 'In $2 $1 But')} AS x, bool_or({D.sql_matches('x', P.LATER_SUFFIX)}) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS near FROM l
+),
+m AS (SELECT doc_id, i, CASE WHEN near AND {D.sql_matches('x', P.ENDS_WITH_SO)} THEN regexp_replace(x, '(?i)So$', 'Sooner or later,') ELSE x END AS x FROM r),
+k AS (SELECT *, regexp_matches(x, '(?i)^Soon$') AS soon, x LIKE '%Sooner or later,' AS ends FROM m WHERE NOT {D.sql_matches('x', P.LATER_FRAGMENT)}),
+o AS (SELECT *, soon AND coalesce(last_value(CASE WHEN NOT soon THEN ends END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS orphan FROM k),
+c AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS ord, x AS text FROM o WHERE NOT orphan)
+"""
+
+
+def _curved_lines(spark, sf_dir):
+    return D.lines(spark, sf_dir).withColumn("t", F.expr(D.CURVED))
+
+
+@query(f"{_CLEANED_LINES} SELECT doc_id, ord, text FROM c")
 def cleaned_page_lines(spark, sf_dir):
-    page = D.lines(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_ix", "t"))), lambda s: s["t"]).alias("l"))
+    page = _curved_lines(spark, sf_dir).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_ix", text.nfc(F.col("t")).alias("t")))), lambda s: s["t"]).alias("l"))
     return page.select("doc_id", F.posexplode(lines.clean_page_lines(F.transform("l", lambda x: text.normalize_text(x, composed=True)))).alias("ord", "text"))
 
 
@@ -123,10 +140,7 @@ def ocr_line_metrics(spark, sf_dir):
     return rows.select(*_KEYS, rounded("average_confidence", m["averageConfidence"]), *[m[f].cast("long").alias(n) for n, f in counts.items()])
 
 
-@query(f"""{D.SQL_FLAGS},
-k AS (SELECT *, lag(text) OVER (PARTITION BY doc_id, line_ix ORDER BY pos) AS before FROM f WHERE NOT removed)
-SELECT doc_id, line_ix, {D.sql_normal(f"string_agg(CASE WHEN before IS NULL OR {D.sql_matches('text', P.CLOSERS)} OR {D.sql_matches('right(before, 1)', P.OPENERS)} THEN text ELSE ' ' || text END, '' ORDER BY pos)")} AS text
-FROM k GROUP BY doc_id, line_ix""")
+@query(D.sql_joined(D.SQL_FLAGS))
 def joined_line_text(spark, sf_dir):
     return _processed(spark, sf_dir).filter(F.size("processed") > 0).select(*_KEYS, "text")
 
@@ -139,14 +153,21 @@ def retry_regions(spark, sf_dir):
     return rows.select(*_KEYS, "r.bbox.x0", "r.bbox.y0", "r.bbox.x1", "r.bbox.y1", F.col("r.averageConfidence").alias("confidence"), "r.reason")
 
 
-@query()
+@query(f"""{D.SQL_FLAGS},
+k AS (
+  SELECT *, row_number() OVER o AS n, lag(flagged) OVER o AS pf, bool_and({D.sql_matches('text', P.OPENERS)}) OVER (PARTITION BY doc_id, line_ix ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened
+  FROM f WHERE NOT removed WINDOW o AS (PARTITION BY doc_id, line_ix ORDER BY pos)
+),
+q AS (SELECT *, CASE WHEN n = 1 OR opened OR {D.sql_matches('text', P.CLOSERS)} THEN text ELSE ' ' || text END AS piece, sum(CASE WHEN pf = flagged THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, line_ix ORDER BY pos) AS run FROM k)
+SELECT doc_id, line_ix, (run - 1)::INTEGER AS run, string_agg(piece, '' ORDER BY pos) AS text, min(confidence) AS confidence, flagged FROM q GROUP BY doc_id, line_ix, run, flagged""")
 def text_runs(spark, sf_dir):
     return _processed(spark, sf_dir).select(*_KEYS, F.posexplode("runs").alias("run", "r")).select(*_KEYS, "run", "r.text", "r.confidence", "r.flagged")
 
 
-@query()
+@query(f"""SELECT doc_id, line_ix, text, n_words FROM ({D.sql_joined(D.sql_flags(D.SQL_REPAIRED_WORDS))}) JOIN (SELECT doc_id, line_ix, count(*)::INTEGER AS n_words FROM ({D.SQL_REPAIRED_WORDS}) GROUP BY ALL) USING (doc_id, line_ix)""")
 def repaired_words(spark, sf_dir):
-    return _processed(spark, sf_dir, repair=True).select(*_KEYS, "text", F.size("processed").alias("n_words"))
+    rows = words.process_lines(D.split_word_lines(spark, sf_dir), repair=True).filter(F.size("processed") > 0)
+    return rows.select(*_KEYS, "text", F.size("processed").alias("n_words"))
 
 
 # Choice among passes
@@ -188,7 +209,14 @@ def language_choice(spark, sf_dir):
     return rows.select("conv_id", "turn", text.choose_language(F.col("a"), x, F.col("b"), y).alias("second_wins"))
 
 
-@query()
+@query(f"""
+WITH w AS (SELECT doc_id, line_ix, generate_subscripts(ws, 1) - 1 AS word_ix, unnest(ws) AS w FROM (SELECT doc_id, line_ix, string_split(t, ' ') AS ws FROM ({D.SQL_LINES}))),
+m AS (
+  SELECT doc_id, line_ix // 2 AS ord, count(DISTINCT line_ix) AS n_lines, string_agg(w, ' ' ORDER BY word_ix, line_ix) AS whole, avg(({D.WORD_CONFIDENCE})::DOUBLE) AS mean, count(*)::INTEGER AS n_words FROM w GROUP BY doc_id, line_ix // 2
+),
+j AS ({D.sql_joined(D.SQL_FLAGS)})
+SELECT m.doc_id, ord::INTEGER AS ord, CASE WHEN n_lines = 2 THEN whole ELSE coalesce(j.text, '') END AS text, CASE WHEN n_lines = 2 THEN mean ELSE 50 END AS confidence, n_words
+FROM m LEFT JOIN j ON j.doc_id = m.doc_id AND j.line_ix = m.ord * 2""")
 def merged_fragments(spark, sf_dir):
     rows = _processed(spark, sf_dir)
     x0 = F.col("line_ix") % 2 * 4000.0
@@ -224,7 +252,7 @@ def aligned_rows_semijoin(spark, sf_dir):
     return layout.aligned_rows(rows, ["doc_id"], "line_ix", "starts").select("doc_id", "line_ix")
 
 
-_ITEMS = f"SELECT doc_id, line_ix, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS w FROM (SELECT doc_id, line_ix, string_split(t, ' ') AS ws FROM ({D.SQL_RAW_LINES})) WHERE doc_id % 7 <> 0"
+_ITEMS = D.SQL_ITEMS
 
 
 @query(f"""SELECT doc_id, w AS text, CASE WHEN line_ix = 0 THEN 20.0 ELSE 12.0 END::DOUBLE AS font_size, (20 + i * 60)::DOUBLE AS x0,
@@ -235,9 +263,13 @@ def tokens_from_items(spark, sf_dir):
     return rows.select("doc_id", "t.text", F.col("t.fontSize").alias("font_size"), "t.bbox.x0", "t.bbox.x1", "t.bbox.y1", text.matches(F.col("t.text"), P.LIST_MARKER).alias("is_marker"))
 
 
-@query(f"""SELECT d.doc_id, coalesce(length(string_agg({D.sql_replace('w', chr(92) + 's', '')}, '')), 0) < 12 AS needs_ocr FROM documents d LEFT JOIN ({_ITEMS}) i USING (doc_id) GROUP BY d.doc_id""")
+_PAGES = "SELECT doc_id, unnest(CASE WHEN doc_id % 7 = 0 THEN [1, 2] ELSE [1] END)::INTEGER AS page_no FROM documents"
+_LAYER = f"SELECT doc_id, 1 AS page_no, count(*) FILTER (text <> '') AS n, length(string_agg({D.sql_replace('text', chr(92) + 's', '')}, '')) AS letters FROM (SELECT doc_id, {D.sql_trim('nfc_normalize(w)')} AS text FROM ({_ITEMS})) GROUP BY doc_id"
+
+
+@query(f"SELECT doc_id, page_no, coalesce(letters, 0) < 12 AS needs_ocr FROM ({_PAGES}) LEFT JOIN ({_LAYER}) USING (doc_id, page_no)")
 def pages_that_need_ocr(spark, sf_dir):
-    return D.pdf_pages(spark, sf_dir).select("doc_id", layout.needs_ocr(layout.tokens_from_items(F.col("items"), F.col("page_no"))).alias("needs_ocr"))
+    return D.pdf_pages(spark, sf_dir).select("doc_id", "page_no", layout.needs_ocr(layout.tokens_from_items(F.col("items"), F.col("page_no"))).alias("needs_ocr"))
 
 
 @query(f"""
@@ -253,27 +285,37 @@ def pdf_page_classifier(spark, sf_dir):
     return layout.page_scores(items, ["doc_id"]).select("doc_id", "n_items", *[rounded(c, F.col(c)) for c in ("mean_length", "single_share", "score")], "kind")
 
 
-@query()
+@query(f"{D.SQL_LAYOUT} SELECT doc_id, ord, kind, text, level, n_rows FROM block")
 def page_layout_blocks(spark, sf_dir):
     pages = D.pdf_pages(spark, sf_dir).withColumn("tokens", layout.tokens_from_items(F.col("items"), F.col("page_no")))
     blocks = layout.layout(pages).select("doc_id", F.posexplode("blocks").alias("ord", "b"))
     return blocks.select("doc_id", "ord", "b.kind", "b.text", "b.level", F.size("b.rows").alias("n_rows"))
 
 
-@query()
+@query(f"{D.SQL_REFLOWED} SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY out) - 1)::INTEGER AS ord, kind, text, n_lines::INTEGER AS n_lines FROM reflowed")
 def reflowed_paragraphs(spark, sf_dir):
     pages = D.pdf_pages(spark, sf_dir).withColumn("tokens", layout.tokens_from_items(F.col("items"), F.col("page_no")))
     blocks = layout.layout(pages).select("doc_id", F.posexplode(layout.reflowed(F.col("blocks"))).alias("ord", "b"))
     return blocks.select("doc_id", "ord", "b.kind", "b.text", F.size("b.lines").alias("n_lines"))
 
 
-@query()
+@query(f"""
+WITH i AS (
+  SELECT doc_id, line_ix - (line_ix % 5 = 1)::INT AS g, line_ix, i, {D.sql_token(D.sql_replace('w', P.CONTROLS, ''))} AS text, CASE WHEN line_ix = 0 THEN 20.0 ELSE 12.0 END::DOUBLE AS h, (20 + i * 60)::DOUBLE AS x, (length(w) * 6)::DOUBLE AS width
+  FROM ({_ITEMS}) WHERE {D.sql_trim('w')} <> ''
+),
+b AS (SELECT *, list_sort(list(h) OVER (PARTITION BY doc_id))[count(*) OVER (PARTITION BY doc_id) // 2 + 1] AS body, x - lag(x + width) OVER (PARTITION BY doc_id, g ORDER BY x, line_ix) AS gap FROM i WHERE text <> ''),
+l AS (
+  SELECT doc_id, g, any_value(body) AS body, list_sort(list(h))[count(*) // 2 + 1] AS tall, {D.sql_normal("string_agg(CASE WHEN gap > greatest(1.5, body * 0.12) THEN ' ' ELSE '' END || text, '' ORDER BY x, line_ix)")} AS text FROM b GROUP BY doc_id, g
+)
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY g) - 1)::INTEGER AS ord, text, tall AS "fontSize", tall >= body * 1.22 AS heading FROM l WHERE text <> ''""")
 def grouped_text_items(spark, sf_dir):
     pages = D.pdf_pages(spark, sf_dir).select("doc_id", F.posexplode(layout.grouped_text_items(pdf_items.text_items(F.col("items")))).alias("ord", "l"))
     return pages.select("doc_id", "ord", "l.text", "l.fontSize", "l.heading")
 
 
-@query()
+@query(f"""SELECT doc_id, page_no, CASE WHEN coalesce(letters, 0) < 12 THEN 'ocr' ELSE 'text-layer' END AS source, CASE WHEN coalesce(letters, 0) < 12 THEN 0 ELSE n END::INTEGER AS n_tokens,
+  CASE WHEN coalesce(letters, 0) < 12 THEN 0 ELSE 100 END::DOUBLE AS confidence FROM ({_PAGES}) LEFT JOIN ({_LAYER}) USING (doc_id, page_no)""")
 def extracted_documents(spark, sf_dir):
     empty = F.array().cast("array<struct<text:string,confidence:double,bbox:struct<x0:double,y0:double,x1:double,y1:double>>>")
     pages = pdf_items.page_tokens(D.pdf_pages(spark, sf_dir), lambda p: p.select("doc_id", "page_no", empty.alias("words")))
@@ -373,18 +415,29 @@ def character_error_rate(spark, sf_dir):
     return quality.measured(_pairs(spark, sf_dir)).select("doc_id", "line_ix", "character_errors", "reference_characters", rounded("cer", F.col("cer")))
 
 
-@query()
+_SWAPPED = f"CASE line_ix % 4 WHEN 0 THEN e WHEN 1 THEN replace(e, 'th', 'ht') WHEN 2 THEN concat(e, '  x') ELSE '' END"
+_MEASURED = f"""
+WITH p AS (SELECT doc_id, line_ix, regexp_replace(t, '[^ -~]', '?', 'g') AS e FROM ({D.SQL_RAW_LINES})),
+q AS (SELECT doc_id, line_ix, {D.sql_trim(D.sql_replace('e', chr(92) + 's+', ' '))} AS e, {D.sql_trim(D.sql_replace(_SWAPPED, chr(92) + 's+', ' '))} AS a FROM p),
+s AS (SELECT *, CASE WHEN e = '' THEN [] ELSE string_split(e, ' ') END AS ew, CASE WHEN a = '' THEN [] ELSE string_split(a, ' ') END AS aw FROM q),
+-- words are replaced, added at the end or all gone: none moves, so that the differing places are the fewest errors
+r AS (SELECT *, levenshtein(e, a) AS errors, abs(len(ew) - len(aw)) + len(list_filter(list_zip(ew[1:least(len(ew), len(aw))], aw[1:least(len(ew), len(aw))]), lambda z: z[1] <> z[2])) AS word_errors FROM s),
+m AS (SELECT *, CASE WHEN e = '' THEN (a <> '')::INT::DOUBLE ELSE errors / length(e) END AS cer, CASE WHEN len(ew) = 0 THEN (len(aw) > 0)::INT::DOUBLE ELSE word_errors / len(ew) END AS wer FROM r)
+"""
+
+
+@query(f"{_MEASURED} SELECT doc_id, line_ix, word_errors::INTEGER AS word_errors, len(ew)::INTEGER AS reference_words, round(wer, 6) AS wer, cer <= 0.02 AND wer <= 0.02 AS meets_threshold FROM m")
 def word_error_rate(spark, sf_dir):
     got = quality.measured(_pairs(spark, sf_dir))
     ok = quality.meets_threshold(F.col("cer"), F.col("wer"), F.lit(0.02), F.lit(0.02))
     return got.select("doc_id", "line_ix", "word_errors", "reference_words", rounded("wer", F.col("wer")), ok.alias("meets_threshold"))
 
 
-@query()
+@query(f"{_MEASURED} SELECT doc_id || '-' || line_ix AS case, 0.01::DOUBLE AS baseline_cer, 0.01::DOUBLE AS baseline_wer, round(cer, 6) AS cer, round(wer, 6) AS wer FROM m WHERE cer > 0.01 OR wer > 0.01")
 def quality_regressions(spark, sf_dir):
     got = quality.measured(_pairs(spark, sf_dir)).withColumn("case", F.concat_ws("-", "doc_id", "line_ix"))
     gate = D.lines(spark, sf_dir, dirty=False).select(F.concat_ws("-", "doc_id", "line_ix").alias("case"), F.lit(0.01).alias("cer"), F.lit(0.01).alias("wer"))
-    return quality.regressions(gate, got, "case")
+    return quality.regressions(gate, got, "case").select("case", "baseline_cer", "baseline_wer", rounded("cer", F.col("cer")), rounded("wer", F.col("wer")))
 
 
 # Names, content, files
@@ -415,13 +468,27 @@ def output_names(spark, sf_dir):
     return read(spark, sf_dir, "orders").select("o_orderkey", encode.output_name("scan", F.col("o_orderdate"), "pdf").alias("name"), encode.data_url(F.col("o_orderpriority").cast("binary"), "text/plain").alias("url"))
 
 
-@query()
+@query("""
+WITH RECURSIVE f AS (
+  SELECT doc_id // 24 AS session, doc_id AS ord, row_number() OVER (PARTITION BY doc_id // 24 ORDER BY doc_id) AS n, CASE WHEN doc_id % 11 = 0 THEN NULL WHEN doc_id % 3 = 0 THEN 'pdf' ELSE 'png' END AS kind,
+         CASE WHEN doc_id % 11 <> 0 AND doc_id % 3 = 0 THEN list_transform(range(1, doc_id % 5 + 2), lambda i: n_chars * 1000 * i) ELSE [n_chars * 5000] END AS px FROM documents
+),
+s AS (
+  SELECT session, 0::BIGINT AS n, 0::BIGINT AS pages, 0::BIGINT AS pixels, NULL::BIGINT AS ord, 0::BIGINT AS taken, NULL::VARCHAR AS error FROM f GROUP BY session
+  UNION ALL
+  SELECT session, n, pages + CASE WHEN error IS NULL THEN k ELSE 0 END, pixels + CASE WHEN error IS NULL THEN more ELSE 0 END, ord, CASE WHEN error IS NULL THEN k ELSE 0 END, error FROM (
+    SELECT *, CASE WHEN n > 20 THEN 'page limit' WHEN kind IS NULL THEN 'unknown format' WHEN pixels + more > 160000000 THEN 'pixel budget' END AS error FROM (
+      SELECT f.session, f.n, s.pages, s.pixels, f.ord, f.kind, len(f.px[1:CASE WHEN f.kind = 'pdf' THEN greatest(0, 20 - s.pages) ELSE 1 END])::BIGINT AS k,
+             coalesce(list_sum(f.px[1:CASE WHEN f.kind = 'pdf' THEN greatest(0, 20 - s.pages) ELSE 1 END]), 0)::BIGINT AS more FROM s JOIN f ON f.session = s.session AND f.n = s.n + 1
+    ))
+)
+SELECT session, ord, taken::INTEGER AS taken, error FROM s WHERE n > 0""")
 def session_budget(spark, sf_dir):
     docs = D.documents(spark, sf_dir)
     kind = F.when(F.col("doc_id") % 11 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 0, "pdf").otherwise("png")
     pixels = F.when(kind == "pdf", F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 5 + 1).cast("int")), lambda i: F.col("n_chars") * 1000 * i)).otherwise(F.array(F.col("n_chars") * 5000))
-    rows = docs.select("source", F.col("doc_id").alias("ord"), kind.alias("kind"), pixels.alias("page_pixels"))
-    return session.imported(rows, ["source"])
+    rows = docs.select(F.floor(F.col("doc_id") / 24).alias("session"), F.col("doc_id").alias("ord"), kind.alias("kind"), pixels.alias("page_pixels"))
+    return session.imported(rows, ["session"])
 
 
 @query("""SELECT source, bool_or(doc_id % 5 = 0 OR doc_id % 3 = 0) AS needs_ocr FROM documents GROUP BY source""")
@@ -537,8 +604,11 @@ def page_geometry(spark, sf_dir):
 WITH t AS (SELECT o_orderpriority AS p, list_sort(list(o_totalprice % 256)) AS v, count(*) AS n FROM orders GROUP BY 1), q AS (SELECT p, n, v[floor(n * 0.08)::INT + 1] AS dark, v[floor(n * 0.62)::INT + 1] AS usual FROM t)
 SELECT p AS o_orderpriority, CASE WHEN n < 16 THEN 0 ELSE round(least(1, greatest(0, (188 - dark) / 105, (usual - dark - 38) / 105)), 6) END AS severity FROM q""")
 def shadow_severity(spark, sf_dir):
-    tones = read(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.collect_list(F.col("o_totalprice") % 256).alias("v"))
-    return tones.select("o_orderpriority", rounded("severity", G.shadow_severity(F.col("v"))))
+    tones = read(spark, sf_dir, "orders").select("o_orderpriority", (F.col("o_totalprice") % 256).alias("v"))
+    dark, usual = (stats.ranked_value(tones, ["o_orderpriority"], "v", ratio, name) for ratio, name in ((0.08, "dark"), (0.62, "usual")))
+    n = tones.groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+    severity = G.severity_of(F.col("dark"), F.col("usual"), F.col("n"))
+    return dark.join(usual, "o_orderpriority").join(n, "o_orderpriority").select("o_orderpriority", rounded("severity", severity))
 
 
 @query("""SELECT page_id, CASE WHEN c >= 0.58 THEN 'found' ELSE 'current' END AS corners, CASE WHEN c >= 0.58 THEN w WHEN w IS NULL THEN 'Kiểm tra 4 góc' WHEN contains(w, 'Kiểm tra 4 góc') THEN w ELSE w || ' · Kiểm tra 4 góc' END AS warning
@@ -562,9 +632,9 @@ def image_corners(spark, sf_dir):
     return image.detected_corners(D.synthetic_images(spark, sf_dir), ("page_id",))
 
 
-@query()
+@query("SELECT page_id, CASE WHEN page_id % 3 > 0 THEN [40, 130 + page_id % 20, 240]::INTEGER[] END AS x_lines, CASE WHEN page_id % 3 > 0 THEN [30, 110 + page_id % 15, 200, 270]::INTEGER[] END AS y_lines FROM pages")
 def image_table_grid(spark, sf_dir):
-    return image.table_grids(D.synthetic_images(spark, sf_dir), ("page_id",))
+    return image.table_grids(D.ruled_images(spark, sf_dir), ("page_id",))
 
 
 def _rendered(spark, sf_dir):
@@ -576,25 +646,34 @@ def _rendered(spark, sf_dir):
 
 @query()
 def rendered_pages(spark, sf_dir):
-    done = image.rendered_pages(_rendered(spark, sf_dir), ("page_id",), 200)
+    done = image.rendered_pages(_rendered(spark, sf_dir), ("page_id",), session.MAX_EDGE["balanced"])
     return done.select("page_id", "page.width", "page.height", F.md5("page.data").alias("digest"))
 
 
-@query()
+@query("SELECT page_id // 5 AS doc_id, 'pdf' AS kind, count(*)::INTEGER AS n_pages FROM pages GROUP BY page_id // 5")
 def scan_documents(spark, sf_dir):
     pages = _rendered(spark, sf_dir).withColumns({"doc_id": F.floor(F.col("page_id") / 5), "page_no": (F.col("page_id") % 5).cast("int")})
-    return pipelines.scan_from_image(pages).select("doc_id", F.length("content").alias("n_bytes"), files.sniff_kind(F.col("content")).alias("kind"))
+    content = F.col("content")
+    return pipelines.scan_from_image(pages).select("doc_id", files.sniff_kind(content).alias("kind"), pdf.page_count(content).alias("n_pages"))
 
 
-@query()
+@query(f"""{D.SQL_REFLOWED}
+SELECT doc_id, count(*) FILTER (kind <> 'table')::INTEGER AS n_paragraphs, count(*) FILTER (kind = 'table')::INTEGER AS n_tables, sum(length({D.sql_replace('text', P.CONTROLS, '')})) FILTER (kind <> 'table')::BIGINT AS n_characters FROM reflowed GROUP BY doc_id""")
 def word_documents(spark, sf_dir):
-    return pipelines.pdf_to_word(D.pdf_pages(spark, sf_dir)).select("doc_id", F.md5("content").alias("digest"))
+    return pipelines.pdf_to_word(D.pdf_pages(spark, sf_dir)).select("doc_id", docx.package_counts(F.col("content")).alias("c")).select("doc_id", "c.n_paragraphs", "c.n_tables", F.nullif("c.n_characters", F.lit(0)).alias("n_characters"))
 
 
-@query()
+@query(f"""{_CLEANED_LINES},
+d AS (SELECT *, lag(lower(text)) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM (SELECT doc_id, ord, {D.sql_normal('text')} AS text FROM c) WHERE text <> ''),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM d WHERE before IS NULL OR before <> lower(text)),
+e AS (SELECT *, CASE WHEN {D.sql_matches('text', P.REQUEST)} THEN 'heading' WHEN {D.sql_matches('text', P.NUMBERED)} THEN 'list-item' WHEN n = 1 AND length(text) <= 180 THEN 'title' ELSE 'paragraph' END AS kind FROM t),
+g AS (SELECT *, CASE WHEN kind = 'paragraph' AND lag(kind) OVER (PARTITION BY doc_id ORDER BY ord) = 'paragraph' THEN 0 ELSE 1 END AS opens FROM e),
+b AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY ord) AS block FROM g),
+w AS (SELECT doc_id, block, {D.sql_normal("string_agg(text, ' ' ORDER BY ord)")} AS text FROM b GROUP BY doc_id, block)
+SELECT doc_id, count(*)::INTEGER AS n_paragraphs, sum(length(text))::BIGINT AS n_characters FROM w GROUP BY doc_id""")
 def prose_documents(spark, sf_dir):
-    rows = D.lines(spark, sf_dir).select("doc_id", F.col("line_ix").alias("ord"), F.col("t").alias("text"))
-    return pipelines.prose_to_word(rows).select("doc_id", F.md5("content").alias("digest"))
+    rows = _curved_lines(spark, sf_dir).select("doc_id", F.col("line_ix").alias("ord"), F.col("t").alias("text"))
+    return pipelines.prose_to_word(rows).select("doc_id", docx.package_counts(F.col("content")).alias("c")).select("doc_id", "c.n_paragraphs", "c.n_characters")
 
 
 @query("""

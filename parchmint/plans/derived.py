@@ -21,6 +21,12 @@ DIRT = (
 )
 CONFIDENCE = "(31 * doc_id + 17 * line_ix) % 101"
 WORD_CONFIDENCE = "(31 * doc_id + 17 * line_ix + 7 * word_ix) % 101"
+LETTER = r"[\p{L}\p{N}]"
+# What a curved page does to lines; the same text in both dialects.
+CURVED = (
+    "CASE line_ix % 11 WHEN 3 THEN concat(t, '. So') WHEN 4 THEN ': © er or later,' WHEN 5 THEN 'Soon' WHEN 6 THEN 'soon' WHEN 7 THEN concat(t, ' so') "
+    "WHEN 8 THEN 'social media or working until midnight. But In modern life, it’s very easy to keep scrolling on s' WHEN 9 THEN 'Soon' ELSE t END"
+)
 
 
 def sql_text(pattern: str) -> str:
@@ -113,8 +119,10 @@ SQL_WORDS = f"""
     FROM (SELECT doc_id, line_ix, generate_subscripts(ws, 1) - 1 AS word_ix, unnest(ws) AS w FROM (SELECT doc_id, line_ix, string_split(t, ' ') AS ws FROM ({SQL_LINES})))
   ) WHERE text <> ''"""
 
-SQL_FLAGS = f"""
-WITH w AS ({SQL_WORDS}),
+def sql_flags(words: str) -> str:
+    """f: words with removed and flagged."""
+    return f"""
+WITH w AS ({words}),
 m AS (SELECT doc_id, line_ix, list_concat(coalesce(list(h) FILTER (length(text) > 1), []), list(h)) AS hs FROM w GROUP BY ALL),
 t AS (SELECT doc_id, line_ix, list_sort(hs)[CAST(floor(len(hs) / 2) AS INTEGER) + 1] AS t FROM m),
 n AS (
@@ -129,6 +137,50 @@ f AS (SELECT *, NOT removed AND confidence < 82 AND NOT {sql_matches("text", P.P
 """
 
 
+SQL_FLAGS = sql_flags(SQL_WORDS)
+
+
+def sql_joined(flags: str) -> str:
+    """doc_id, line_ix, text: what is kept of each line."""
+    return f"""{flags},
+k AS (SELECT *, lag(text) OVER (PARTITION BY doc_id, line_ix ORDER BY pos) AS before FROM f WHERE NOT removed)
+SELECT doc_id, line_ix, {sql_normal(f"string_agg(CASE WHEN before IS NULL OR {sql_matches('text', P.CLOSERS)} OR {sql_matches('right(before, 1)', P.OPENERS)} THEN text ELSE ' ' || text END, '' ORDER BY pos)")} AS text
+FROM k GROUP BY doc_id, line_ix"""
+
+
+def split_word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, line_ix, words ARRAY<WORD>: tokens 1000 apart, the first letter of some cut off and 2 pixels away."""
+
+    def word(text, x0, confidence, tall):
+        bottom = (F.col("line_ix") * 24 + 20).cast("double")
+        box = F.struct(x0.alias("x0"), (bottom - tall).alias("y0"), (x0 + F.length(text) * 10).alias("x1"), bottom.alias("y1"))
+        return F.struct(text.alias("text"), confidence.cast("double").alias("confidence"), box.alias("bbox"), F.lit(None).cast(schemas.BOX).alias("baseline"))
+
+    def token(t, i):
+        confidence = (F.col("doc_id") * 31 + F.col("line_ix") * 17 + i.cast("long") * 7) % 101
+        x0, n = (i * 1000).cast("double"), F.length(t)
+        tall = F.when((n == 1) & ((F.col("doc_id") + i) % 3 == 0), 7.0).otherwise(20.0)
+        cut = (n >= 3) & ((F.col("doc_id") + i) % 4 == 0)
+        parts = F.array(word(F.substring(t, 1, 1), x0, confidence, F.lit(20.0)), word(t.substr(F.lit(2), n), x0 + 12, (confidence + 3) % 101, F.lit(20.0)))
+        return F.when(cut, parts).otherwise(F.array(word(t, x0, confidence, tall)))
+
+    return lines(spark, sf_dir).select("doc_id", "line_ix", F.flatten(F.transform(F.split("t", " ", -1), token)).alias("words"))
+
+
+_SPLIT = f"""
+  SELECT doc_id, line_ix, word_ix, w, length(w) AS n, ({WORD_CONFIDENCE})::DOUBLE AS c, (({WORD_CONFIDENCE}) + 3) % 101::DOUBLE AS d, length(w) >= 3 AND (doc_id + word_ix) % 4 = 0 AS cut,
+         {sql_matches("left(w, 1)", LETTER)} AND {sql_matches("substr(w, 2)", "^" + LETTER)} AS joins
+  FROM (SELECT doc_id, line_ix, generate_subscripts(ws, 1) - 1 AS word_ix, unnest(ws) AS w FROM (SELECT doc_id, line_ix, string_split(t, ' ') AS ws FROM ({SQL_LINES})))"""
+SQL_REPAIRED_WORDS = f"""
+  SELECT doc_id, line_ix, row_number() OVER (PARTITION BY doc_id, line_ix ORDER BY x0) - 1 AS pos, text, confidence, x0, y1 - h AS y0, x1, y1, h FROM (
+    SELECT doc_id, line_ix, {sql_token("w")} AS text, confidence, x0, x1, (line_ix * 24 + 20)::DOUBLE AS y1, h FROM (
+      SELECT doc_id, line_ix, w, CASE WHEN cut THEN least(c, d) ELSE c END AS confidence, (word_ix * 1000)::DOUBLE AS x0, (word_ix * 1000 + n * 10 + CASE WHEN cut THEN 2 ELSE 0 END)::DOUBLE AS x1,
+             CASE WHEN n = 1 AND (doc_id + word_ix) % 3 = 0 THEN 7.0 ELSE 20.0 END::DOUBLE AS h FROM ({_SPLIT}) WHERE NOT cut OR joins
+      UNION ALL SELECT doc_id, line_ix, left(w, 1), c, (word_ix * 1000)::DOUBLE, (word_ix * 1000 + 10)::DOUBLE, 20.0 FROM ({_SPLIT}) WHERE cut AND NOT joins
+      UNION ALL SELECT doc_id, line_ix, substr(w, 2), d, (word_ix * 1000 + 12)::DOUBLE, (word_ix * 1000 + 2 + n * 10)::DOUBLE, 20.0 FROM ({_SPLIT}) WHERE cut AND NOT joins
+    )) WHERE text <> ''"""
+
+
 def positioned_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, pass_ix, ord, text, confidence, bbox: three readings of each line; the first is missing in every third document."""
     rows = lines(spark, sf_dir).selectExpr("*", "explode(sequence(0, 2)) AS pass_ix").filter("pass_ix > 0 OR doc_id % 3 <> 0")
@@ -147,7 +199,7 @@ SQL_PASSES = f"""
 
 
 def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, page_no, height, items ARRAY<PDF_ITEM>: a document as one page, a line's words as items; every seventh has none."""
+    """doc_id, page_no, height, items ARRAY<PDF_ITEM>: a document's page 1, a line's words as items; every seventh has an empty page 2."""
 
     def item(word, i):
         x, y = 20.0 + i * 60, 3000.0 - F.col("line_ix") * 16 - F.when(F.col("line_ix") % 5 == 0, 12).otherwise(0)
@@ -159,19 +211,54 @@ def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line_ix", "i"))), lambda s: s["i"]))
     pages = own.groupBy("doc_id").agg(items.alias("items"))
     none = F.array().cast(f"array<{schemas.PDF_ITEM}>")
-    return pages.select("doc_id", F.lit(1).alias("page_no"), F.lit(3000.0).alias("height"), F.when(F.col("doc_id") % 7 == 0, none).otherwise(F.col("items")).alias("items"))
+    page = F.struct(F.lit(1).alias("page_no"), F.col("items"))
+    both = F.when(F.col("doc_id") % 7 == 0, F.array(page, F.struct(F.lit(2).alias("page_no"), none.alias("items")))).otherwise(F.array(page))
+    return pages.select("doc_id", F.explode(both).alias("p")).select("doc_id", "p.page_no", F.lit(3000.0).alias("height"), "p.items")
+
+
+SQL_ITEMS = f"SELECT doc_id, line_ix, generate_subscripts(ws, 1) - 1 AS i, unnest(ws) AS w FROM (SELECT doc_id, line_ix, string_split(t, ' ') AS ws FROM ({SQL_RAW_LINES}))"
+
+# A line that follows one with a wide gap above it lies 4 points below that one: both are a row, whose number is the first's.
+SQL_LAYOUT = f"""
+WITH RECURSIVE tok AS (
+  SELECT doc_id, line_ix - (line_ix % 5 = 1)::INT AS g, line_ix, i, {sql_trim('nfc_normalize(w)')} AS text, CASE WHEN line_ix = 0 THEN 20.0 ELSE 12.0 END::DOUBLE AS fs,
+         (20 + i * 60)::DOUBLE AS x0, (20 + i * 60 + greatest(1, length(w) * 6))::DOUBLE AS x1, (3000 - line_ix * 16 - CASE WHEN line_ix % 5 = 0 THEN 12 ELSE 0 END)::DOUBLE AS y1 FROM ({SQL_ITEMS})
+),
+tb AS (SELECT *, lag(text) OVER o AS before, x0 - lag(x1) OVER o AS gap FROM tok WHERE text <> '' WINDOW o AS (PARTITION BY doc_id, g ORDER BY x0, line_ix)),
+ln AS (
+  SELECT doc_id, g, {sql_replace(f"string_agg(CASE WHEN before IS NULL OR {sql_matches('text', P.LAYOUT_CLOSERS)} THEN text ELSE ' ' || text END, '' ORDER BY x0, line_ix)", r"\s+([,.;:!?%…])", "$1")} AS text,
+         list_sort(list(fs))[(count(*) - 1) // 2 + 1] AS fs, count(*) AS n, max(gap) AS gap, list(x0 ORDER BY x0, line_ix) AS starts, first(text ORDER BY x0, line_ix) AS head,
+         min(x0) AS x0, min(y1 - fs) AS y0, max(y1) AS y1 FROM tb GROUP BY doc_id, g
+),
+lc AS (
+  SELECT *, n >= 2 AND coalesce(gap > fs * 3, false) AS candidate, count(*) OVER (PARTITION BY doc_id) AS n_lines, list_sort(list(fs) OVER (PARTITION BY doc_id))[(count(*) OVER (PARTITION BY doc_id) - 1) // 2 + 1] AS body FROM ln
+),
+lt AS (SELECT *, candidate AND count(*) FILTER (candidate) OVER (PARTITION BY doc_id, starts) >= 2 AS in_table, fs >= body * 1.22 OR (n_lines = 1 AND fs >= 16) AS heading FROM lc),
+bl AS (
+  SELECT doc_id, CASE WHEN {sql_matches('head', P.LIST_MARKER)} THEN 'list-item' WHEN heading THEN 'heading' ELSE 'paragraph' END AS kind, text, CASE WHEN heading THEN CASE WHEN fs >= body * 1.5 THEN 1 ELSE 2 END END AS level,
+         NULL::INTEGER AS n_rows, x0, y0, y1, fs FROM lt WHERE NOT in_table
+  UNION ALL SELECT doc_id, 'table', NULL, NULL, count(*)::INTEGER, min(x0), min(y0), max(y1), NULL FROM lt WHERE in_table GROUP BY doc_id
+),
+block AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY y1 DESC, x0) - 1)::INTEGER AS ord FROM bl)
+"""
+
+# Each step has one more block of every document: joined to the last, or opening the next one.
+SQL_REFLOWED = f"""{SQL_LAYOUT},
+flow AS (
+  SELECT doc_id, ord, 0 AS out, kind, text, x0, y0, fs, CASE WHEN n_rows IS NULL THEN 1 END AS n_lines FROM block WHERE ord = 0
+  UNION ALL
+  SELECT doc_id, ord, out + (NOT same)::INT, kind, CASE WHEN same THEN {sql_trim(sql_replace("ptext || ' ' || text", r"\s+", " "))} ELSE text END, CASE WHEN same THEN least(px0, x0) ELSE x0 END, CASE WHEN same THEN least(py0, y0) ELSE y0 END,
+         fs, CASE WHEN same THEN pn + 1 WHEN n_rows IS NULL THEN 1 END FROM (
+    SELECT b.*, p.out, p.text AS ptext, p.x0 AS px0, p.y0 AS py0, p.n_lines AS pn, b.kind = 'paragraph' AND p.kind = 'paragraph' AND greatest(0, p.y0 - b.y1) <= greatest(p.fs, b.fs) * 0.72
+           AND abs(p.x0 - b.x0) <= greatest(p.fs, b.fs) * 1.25 AS same FROM flow p JOIN block b ON b.doc_id = p.doc_id AND b.ord = p.ord + 1)
+),
+reflowed AS (SELECT doc_id, out, arg_max(kind, ord) AS kind, arg_max(text, ord) AS text, max(n_lines) AS n_lines FROM flow GROUP BY doc_id, out)
+"""
 
 
 def synthetic_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id and image: a sheet on a dark ground with lines of ink, all by formula from page_id."""
     import numpy as np
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    from parchmint.operators.image import image_of
-
-    ids = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id"))
-    kind = to_arrow_type(spark.createDataFrame([], f"image {schemas.IMAGE}").schema["image"].dataType)
 
     def draw(page_id: int) -> np.ndarray:
         h, w = 240 + page_id % 5 * 12, 180 + page_id % 7 * 10
@@ -182,6 +269,36 @@ def synthetic_images(spark: SparkSession, sf_dir: str) -> DataFrame:
             rgb[y : y + 3, m + 24 : w - m - 24] = 20 + page_id % 60
         return rgb
 
+    return _drawn(spark, sf_dir, draw)
+
+
+def ruled_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id and image: white sheets, two of three with a ruled table."""
+    import numpy as np
+
+    def draw(page_id: int) -> np.ndarray:
+        rgb = np.full((300, 280, 3), 250, dtype=np.uint8)
+        if page_id % 3:
+            xs, ys = (40, 130 + page_id % 20, 240), (30, 110 + page_id % 15, 200, 270)
+            for x in xs:
+                rgb[ys[0] : ys[-1] + 1, x] = 10
+            for y in ys:
+                rgb[y, xs[0] : xs[-1] + 1] = 10
+        return rgb
+
+    return _drawn(spark, sf_dir, draw)
+
+
+def _drawn(spark: SparkSession, sf_dir: str, draw) -> DataFrame:
+    """page_id and draw(page_id) as image."""
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    from parchmint.operators.image import image_of
+
+    ids = spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id"))
+    kind = to_arrow_type(spark.createDataFrame([], f"image {schemas.IMAGE}").schema["image"].dataType)
+
     def run(batches):
         for b in batches:
             for i in b.column(0).to_pylist():

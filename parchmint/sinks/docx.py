@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import io
 import zipfile
+from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 CONTENT_TYPES = """<?xml version="1.0" encoding="UTF-8" standalone="yes"?>
@@ -87,3 +89,14 @@ def word_documents(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
 
     kind = blocks.schema[key].dataType.simpleString()
     return blocks.select(key, "block").groupBy(key).applyInArrow(package, f"{key} {kind}, content binary")
+
+
+@F.arrow_udf(T.StructType([T.StructField("n_paragraphs", T.IntegerType()), T.StructField("n_tables", T.IntegerType()), T.StructField("n_characters", T.LongType())]))
+def package_counts(content: pa.Array) -> pa.Array:
+    """What a package holds, read back: paragraphs outside tables, tables, and characters of those paragraphs."""
+    out, w = [], f"{{{W}}}"
+    for package in content:
+        body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(package.as_py())).read("word/document.xml"))[0]
+        texts = ["".join(t.text or "" for t in p.iter(f"{w}t")) for p in body.findall(f"{w}p")]
+        out.append({"n_paragraphs": len(texts), "n_tables": len(body.findall(f"{w}tbl")), "n_characters": sum(map(len, texts))})
+    return pa.array(out, type=pa.struct([("n_paragraphs", pa.int32()), ("n_tables", pa.int32()), ("n_characters", pa.int64())]))
