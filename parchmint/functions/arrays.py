@@ -25,8 +25,9 @@ def last(items: Column) -> Column:
     return F.get(items, F.size(items) - 1)
 
 
-def but_last(items: Column) -> Column:
-    return F.slice(items, 1, F.greatest(F.size(items) - 1, F.lit(0)))
+def runs_of(items: Column, runs: Column, body: Callable[[Column], Column]) -> Column:
+    """body(items of the run) for each of runs, array<struct<at, n>> with places from 0."""
+    return F.transform(runs, lambda r: body(F.slice(items, r["at"] + 1, r["n"])))
 
 
 def sorted_by(items: Column, *keys: Callable[[Column], Column]) -> Column:
@@ -35,11 +36,6 @@ def sorted_by(items: Column, *keys: Callable[[Column], Column]) -> Column:
     return F.transform(F.array_sort(tagged), lambda t: t["x"])
 
 
-def first_index(items: Column, test: Callable[[Column], Column]) -> Column:
-    """1-based place of the first element for which test holds; 0 for none."""
-    return F.array_position(F.transform(items, lambda x: F.coalesce(test(x), F.lit(False))), F.lit(True))
-
-
 def box_union(a: Column, b: Column) -> Column:
     return F.struct(F.least(a["x0"], b["x0"]).alias("x0"), F.least(a["y0"], b["y0"]).alias("y0"), F.greatest(a["x1"], b["x1"]).alias("x1"), F.greatest(a["y1"], b["y1"]).alias("y1"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parchmint.functions import patterns as P
-from parchmint.functions.arrays import normalized
+from parchmint.functions.arrays import let, normalized
 from parchmint.functions.patterns import java
 
 NAME_CHARS, TEXT_CHARS = 160, 2_000_000
@@ -113,12 +113,15 @@ def is_suspicious(text: Column, confidence: Column) -> Column:
 def joined(tokens: Column, closers: str = P.CLOSERS, openers: str | None = P.OPENERS) -> Column:
     """Words in one string: no space before a closing token, none after an opening last character."""
 
-    def piece(token: Column, i: Column) -> Column:
-        before = F.get(tokens, i - 1)
-        glued = (i == 0) | matches(token, closers)
-        return F.concat(F.when(glued | (matches(F.right(before, F.lit(1)), openers) if openers else F.lit(False)), "").otherwise(" "), token)
+    def whole(words: Column) -> Column:
+        def piece(token: Column, i: Column) -> Column:
+            before = F.get(words, i - 1)
+            glued = (i == 0) | matches(token, closers)
+            return F.concat(F.when(glued | (matches(F.right(before, F.lit(1)), openers) if openers else F.lit(False)), "").otherwise(" "), token)
 
-    return F.array_join(F.transform(tokens, piece), "")
+        return F.array_join(F.transform(words, piece), "")
+
+    return let(tokens, whole)
 
 
 def joined_line(tokens: Column) -> Column:

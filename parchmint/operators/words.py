@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from parchmint import schemas
 from parchmint.functions import patterns as P
-from parchmint.functions.arrays import box_union, but_last, empty, last, let, nfc_all, sorted_by
+from parchmint.functions.arrays import bounds, empty, let, nfc_all, runs_of, sorted_by
 from parchmint.functions.stats import median_high
 from parchmint.functions.text import joined_line, matches, normalize_token
+from parchmint.operators.folds import joined_words
 
 LOW_CONFIDENCE, NOISE_CONFIDENCE, SPECK_CONFIDENCE = 82, 32, 55
 COMPACT, BASELINE, BESIDE = 0.68, 0.8, 0.2
@@ -51,7 +52,7 @@ def normalized_words(words: Column) -> Column:
 
 
 def processed_words(words: Column) -> Column:
-    """PROCESSED_WORD for each normalised word: removed as noise between two words, or flagged as doubtful."""
+    """PROCESSED_WORD for each normalised word: removed as noise between two words, or flagged as doubtful. Other fields stay."""
 
     def with_typical(s: Column) -> Column:
         all_words, typical = s["words"], s["typical"]
@@ -62,10 +63,11 @@ def processed_words(words: Column) -> Column:
             beside = (w["bbox"]["x0"] >= before["bbox"]["x1"] - typical * BESIDE) & (w["bbox"]["x1"] <= after["bbox"]["x0"] + typical * BESIDE)
             faint = ((w["confidence"] < SPECK_CONFIDENCE) & (height(w) < typical * COMPACT)) | (w["confidence"] < NOISE_CONFIDENCE)
             # the ends of a line have no neighbour, and words without a box are never beside one: null is false
-            noise = F.coalesce(before.isNotNull() & after.isNotNull() & is_glyph(w["text"]) & inline & beside & faint, F.lit(False))
+            short = F.length(w["text"]) == 1  # before the patterns, which only then can match
+            noise = F.coalesce(short & faint & before.isNotNull() & after.isNotNull() & is_glyph(w["text"]) & inline & beside, F.lit(False))
             doubtful = ~noise & (w["confidence"] < LOW_CONFIDENCE) & ~matches(w["text"], P.PUNCTUATION_ONLY)
             reason = F.when(noise, "isolated-noise").when(doubtful, "low-confidence")
-            return F.struct(*[w[n].alias(n) for n in ("text", "confidence", "bbox", "baseline")], noise.alias("removed"), doubtful.alias("flagged"), reason.alias("reason"))
+            return w.withField("removed", noise).withField("flagged", doubtful).withField("reason", reason)
 
         return F.transform(all_words, one)
 
@@ -99,37 +101,50 @@ def retry_regions(processed: Column) -> Column:
 def text_runs(kept: Column) -> Column:
     """RUN of neighbours that are alike flagged; a run's confidence is its lowest."""
 
-    def step(runs: Column, w: Column) -> Column:
-        before = last(runs)
-        space = F.when((F.size(runs) > 0) & ~matches(w["text"], P.CLOSERS) & ~matches(before["text"], P.OPENERS), " ").otherwise("")
-        same = F.struct(F.concat(before["text"], space, w["text"]).alias("text"), F.least(before["confidence"], w["confidence"]).alias("confidence"), before["flagged"].alias("flagged"), before["bbox"].alias("bbox"))
-        new = F.struct(F.concat(space, w["text"]).alias("text"), w["confidence"].alias("confidence"), w["flagged"].alias("flagged"), w["bbox"].alias("bbox"))
-        goes_on = F.coalesce(before["flagged"] == w["flagged"], F.lit(False))
-        return F.when(goes_on, F.concat(but_last(runs), F.array(same))).otherwise(F.concat(runs, F.array(new)))
+    def of(words: Column) -> Column:
+        opening = F.array_position(F.transform(words, lambda w: matches(w["text"], P.OPENERS)), F.lit(False)).cast("int") - 1  # opening marks before all else
+        begins = F.filter(F.transform(words, lambda w, i: F.when((i == 0) | (w["flagged"] != F.get(words, i - 1)["flagged"]), i)), lambda i: i.isNotNull())
+        ends = lambda b: F.concat(F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0))), F.array(F.size(words)))
+        runs = let(begins, lambda b: F.zip_with(b, ends(b), lambda at, end: F.struct(at.alias("at"), (end - at).alias("n"))))
 
-    return F.aggregate(kept, empty(schemas.RUN), step)
+        def spaced(s: Column) -> Column:
+            glued = lambda w, i: (i <= F.when(s["opening"] < 0, i).otherwise(s["opening"])) | (i == 0) | matches(w["text"], P.CLOSERS)
+            texts = F.transform(words, lambda w, i: F.concat(F.when(glued(w, i), "").otherwise(" "), w["text"]))
+            pairs = F.arrays_zip(words.alias("w"), texts.alias("t"))
+            return let(F.struct(pairs.alias("pairs"), s["runs"].alias("runs")), lambda q: runs_of(q["pairs"], q["runs"], run))
 
+        return let(F.struct(opening.alias("opening"), runs.alias("runs")), spaced)
 
-def repaired_words(words: Column) -> Column:
-    """Words in reading order with single characters joined to the neighbour that they almost touch."""
+    def run(own: Column) -> Column:
+        first = F.get(own, F.lit(0))["w"]
+        text = F.array_join(F.transform(own, lambda x: x["t"]), "")
+        return F.struct(text.alias("text"), F.array_min(F.transform(own, lambda x: x["w"]["confidence"])).alias("confidence"), first["flagged"].alias("flagged"), first["bbox"].alias("bbox"))
 
-    def step(done: Column, w: Column) -> Column:
-        p = last(done)
-        size = F.greatest(F.lit(1.0), F.least(p["bbox"]["y1"] - p["bbox"]["y0"], w["bbox"]["y1"] - w["bbox"]["y0"]))
-        gap = w["bbox"]["x0"] - p["bbox"]["x1"]
-        single = (F.length(p["text"]) == 1) | (F.length(w["text"]) == 1)
-        touches = (gap >= -size * 0.15) & (gap < size * 0.38) & single & matches(p["text"], r"[\p{L}\p{N}]$") & matches(w["text"], r"^[\p{L}\p{N}]")
-        whole = p.withField("text", F.concat(p["text"], w["text"])).withField("confidence", F.least(p["confidence"], w["confidence"])).withField("bbox", box_union(p["bbox"], w["bbox"]))
-        return F.when(F.coalesce(touches, F.lit(False)), F.concat(but_last(done), F.array(whole))).otherwise(F.concat(done, F.array(w)))
+    return F.when(F.size(kept) > 0, let(kept, of)).otherwise(empty(schemas.RUN))
 
-    return F.aggregate(sorted_by(words, lambda w: w["bbox"]["x0"]), empty(schemas.WORD), step)
+
+def repaired_words(lines: DataFrame, words: str = "words", into: str = "words") -> DataFrame:
+    """Adds to lines their words in reading order, single characters joined to the neighbour that they almost touch.
+
+    Other fields of a joined word are those of its first part.
+    """
+    ordered = sorted_by(F.coalesce(F.col(words), F.array().cast(lines.schema[words].dataType)), lambda w: w["bbox"]["x0"])
+    rows = lines.withColumn("_ordered", ordered)
+    rows = rows.withColumn("_runs", joined_words(F.transform("_ordered", lambda w: F.struct(w["text"].alias("text"), w["bbox"].alias("bbox")))))
+
+    def whole(own: Column) -> Column:
+        first, each = F.get(own, F.lit(0)), lambda n: F.transform(own, lambda w: w[n])
+        joined = first.withField("text", F.array_join(each("text"), "")).withField("confidence", F.array_min(each("confidence"))).withField("bbox", bounds(each("bbox")))
+        return F.when(F.size(own) > 1, joined).otherwise(first)
+
+    return rows.withColumn(into, runs_of(F.col("_ordered"), F.col("_runs"), whole)).drop("_ordered", "_runs")
 
 
 def process_lines(lines: DataFrame, words: str = "words", repair: bool = False) -> DataFrame:
     """Adds text, processed, runs, metrics and retry_regions to lines that have an ARRAY<word> column."""
-    source = repaired_words(F.col(words)) if repair else F.col(words)
-    out = lines.withColumn("_normal", normalized_words(F.coalesce(source, empty(schemas.WORD))))
-    out = out.withColumn("processed", processed_words(F.col("_normal"))).drop("_normal")
+    out = repaired_words(lines, words, "_source") if repair else lines.withColumn("_source", F.coalesce(F.col(words), F.array().cast(lines.schema[words].dataType)))
+    out = out.withColumn("_normal", normalized_words(F.col("_source")))
+    out = out.withColumn("processed", processed_words(F.col("_normal"))).drop("_source", "_normal")
     kept = F.filter("processed", lambda w: ~w["removed"])
     return out.withColumns({
         "text": joined_line(F.transform(kept, lambda w: w["text"])), "runs": text_runs(kept),

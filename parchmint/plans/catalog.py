@@ -412,7 +412,7 @@ r AS (SELECT *, levenshtein(e, a) AS errors FROM q)
 SELECT doc_id, line_ix, CAST(errors AS INTEGER) AS character_errors, CAST(length(e) AS INTEGER) AS reference_characters,
        round(CASE WHEN e = '' THEN (a <> '')::INT ELSE errors / length(e) END, 6) AS cer FROM r""")
 def character_error_rate(spark, sf_dir):
-    return quality.measured(_pairs(spark, sf_dir)).select("doc_id", "line_ix", "character_errors", "reference_characters", rounded("cer", F.col("cer")))
+    return quality.character_errors(_pairs(spark, sf_dir)).select("doc_id", "line_ix", "character_errors", "reference_characters", rounded("cer", F.col("cer")))
 
 
 _SWAPPED = f"CASE line_ix % 4 WHEN 0 THEN e WHEN 1 THEN replace(e, 'th', 'ht') WHEN 2 THEN concat(e, '  x') ELSE '' END"
