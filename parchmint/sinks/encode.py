@@ -27,8 +27,9 @@ def data_url(content: Column, media_type: str) -> Column:
 
 
 def output_name(prefix: str, day: Column, suffix: str) -> Column:
-    """prefix-YYYY-MM-DD.suffix of a timestamp in UTC."""
-    return F.concat(F.lit(f"{prefix}-"), F.date_format(day, "yyyy-MM-dd"), F.lit(f".{suffix}"))
+    """prefix-YYYY-MM-DD.suffix of a timestamp in UTC, whatever the session's zone."""
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), day.cast("timestamp").cast("timestamp_ntz"))
+    return F.concat(F.lit(f"{prefix}-"), F.date_format(utc, "yyyy-MM-dd"), F.lit(f".{suffix}"))
 
 
 def not_empty(files: DataFrame, content: str = "content") -> DataFrame:
