@@ -25,6 +25,12 @@ def last(items: Column) -> Column:
     return F.get(items, F.size(items) - 1)
 
 
+def runs_between(starts: Column, n: Column) -> Column:
+    """array<struct<at, n>> of runs that begin at starts; the last one ends at n."""
+    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(n))
+    return F.when(F.size(starts) > 0, F.zip_with(starts, ends, lambda at, end: F.struct(at.alias("at"), (end - at).alias("n")))).otherwise(empty("struct<at:int,n:int>"))
+
+
 def runs_of(items: Column, runs: Column, body: Callable[[Column], Column]) -> Column:
     """body(items of the run) for each of runs, array<struct<at, n>> with places from 0."""
     return F.transform(runs, lambda r: body(F.slice(items, r["at"] + 1, r["n"])))

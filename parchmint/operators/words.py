@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from parchmint import schemas
 from parchmint.functions import patterns as P
-from parchmint.functions.arrays import bounds, empty, let, nfc_all, runs_of, sorted_by
+from parchmint.functions.arrays import bounds, empty, let, nfc_all, runs_between, runs_of, sorted_by
 from parchmint.functions.stats import median_high
 from parchmint.functions.text import joined_line, matches, normalize_token
 from parchmint.operators.folds import joined_words
@@ -104,8 +104,7 @@ def text_runs(kept: Column) -> Column:
     def of(words: Column) -> Column:
         opening = F.array_position(F.transform(words, lambda w: matches(w["text"], P.OPENERS)), F.lit(False)).cast("int") - 1  # opening marks before all else
         begins = F.filter(F.transform(words, lambda w, i: F.when((i == 0) | (w["flagged"] != F.get(words, i - 1)["flagged"]), i)), lambda i: i.isNotNull())
-        ends = lambda b: F.concat(F.slice(b, 2, F.greatest(F.size(b) - 1, F.lit(0))), F.array(F.size(words)))
-        runs = let(begins, lambda b: F.zip_with(b, ends(b), lambda at, end: F.struct(at.alias("at"), (end - at).alias("n"))))
+        runs = let(begins, lambda b: runs_between(b, F.size(words)))
 
         def spaced(s: Column) -> Column:
             glued = lambda w, i: (i <= F.when(s["opening"] < 0, i).otherwise(s["opening"])) | (i == 0) | matches(w["text"], P.CLOSERS)
