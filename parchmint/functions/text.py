@@ -79,7 +79,9 @@ def is_prose_line(line: Column) -> Column:
 
 
 def text_lines(text: Column) -> Column:
-    return F.split(text, "\r?\n", -1)
+    """The lines of recognised text (composed), normalised, without those that are no prose."""
+    lines = F.transform(F.split(text, "\r?\n", -1), lambda t: normalize_text(t, composed=True))
+    return F.filter(lines, is_prose_line)
 
 
 def similarity(a: Column, b: Column) -> Column:

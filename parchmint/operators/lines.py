@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parchmint import schemas
 from parchmint.functions import patterns as P
-from parchmint.functions.arrays import box_union, empty, last, sorted_by
+from parchmint.functions.arrays import box_union, empty, last, let, sorted_by
 from parchmint.functions.stats import ranked_value
 from parchmint.functions.text import candidate_score, is_suspicious, matches, normalize_text, replaced
 
@@ -25,17 +25,17 @@ def _height(box: Column) -> Column:
 def best_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     """For each line of a page's first pass with lines, the best-scored line of any pass at its height; the line itself wins ties.
 
-    lines: keys, pass_ix, ord, text, confidence, bbox. Result: keys, anchor_ord and the chosen line's columns.
+    lines: keys, pass_ix, ord, text, confidence, bbox and more. Result: keys, anchor_ord, anchor_bbox and all columns of the chosen line.
     The band join gets an equality key: bands of the page's largest reach, each anchor looking at its own and both neighbours.
     """
     rows = lines.withColumns({"_c": _center(F.col("bbox")), "_h": _height(F.col("bbox")), "_score": candidate_score(F.col("text"), F.col("confidence"))})
     page = rows.groupBy(*keys).agg(F.max("_h").alias("_top"), F.min("pass_ix").alias("_first"))
     rows = rows.join(page, keys).withColumn("_band", F.floor(F.col("_c") / (F.col("_top") * BAND)))
-    anchors = rows.filter(F.col("pass_ix") == F.col("_first")).select(*keys, F.col("ord").alias("anchor_ord"), F.col("_c").alias("_ac"), F.col("_h").alias("_ah"), F.col("_first").alias("_pass"), F.explode(F.sequence(F.col("_band") - 1, F.col("_band") + 1)).alias("_band"))
+    anchors = rows.filter(F.col("pass_ix") == F.col("_first")).select(*keys, F.col("ord").alias("anchor_ord"), F.col("bbox").alias("anchor_bbox"), F.col("_c").alias("_ac"), F.col("_h").alias("_ah"), F.col("_first").alias("_pass"), F.explode(F.sequence(F.col("_band") - 1, F.col("_band") + 1)).alias("_band"))
     near = anchors.join(rows, [*keys, "_band"]).filter(F.abs(F.col("_c") - F.col("_ac")) <= F.greatest("_h", "_ah") * BAND)
     own = (F.col("pass_ix") == F.col("_pass")) & (F.col("ord") == F.col("anchor_ord"))
     best = Window.partitionBy(*keys, "anchor_ord").orderBy(F.desc("_score"), F.desc(own), "pass_ix", "ord")
-    return near.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").select(*keys, "anchor_ord", "pass_ix", "ord", "text", "confidence", "bbox")
+    return near.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").select(*keys, "anchor_ord", "anchor_bbox", *[c for c in lines.columns if c not in keys])
 
 
 def without_repeats(lines: DataFrame, keys: list[str], order: str, composed: bool = False) -> DataFrame:
@@ -51,6 +51,16 @@ def without_repeats(lines: DataFrame, keys: list[str], order: str, composed: boo
     return rows.join(before, condition, "left_anti").drop("_same")
 
 
+def selected_lines(passes: DataFrame, keys: list[str], composed: bool = False) -> DataFrame:
+    """The best lines of a page's passes without repeats, numbered (ord) from top to bottom and left to right.
+
+    Repeats are looked for in the order of the lines that they were chosen for, the reading order of the first pass.
+    """
+    best = best_lines(passes, keys).withColumn("_at", F.row_number().over(in_reading_order(keys, "anchor_bbox", "anchor_ord")))
+    kept = without_repeats(best, keys, "_at", composed)
+    return kept.withColumn("ord", (F.row_number().over(in_reading_order(keys, "bbox", "_at")) - 1).cast("long")).drop("_at", "anchor_ord", "anchor_bbox")
+
+
 def in_reading_order(keys: list[str], box: str = "bbox", ordinal: str = "ord"):
     """Window of a page's lines from top to bottom and left to right."""
     return Window.partitionBy(*keys).orderBy(F.col(box)["y0"], F.col(box)["x0"], ordinal)
@@ -95,23 +105,30 @@ def suspicious_lines(lines: DataFrame, keys: list[str], order: str, most: int =
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).filter(F.col("rank") <= most)
 
 
-def clean_page_lines(lines: Column) -> Column:
-    """A page's lines (array of normalised strings) with the reading order of a known curved-page damage repaired."""
-    lines = F.filter(lines, lambda t: t != "")
+def clean_page_lines(lines: Column, kind: str = "string", field: str | None = None) -> Column:
+    """A page's lines (array of normalised strings) with the reading order of a known curved-page damage repaired.
+
+    field: the lines are structs of type `kind`, whose other fields stay with the text in this one.
+    """
+    text = lambda x: x[field] if field else x
+
+    def of(lines: Column) -> Column:
+        def repaired(x: Column, i: Column) -> Column:
+            line = text(x)
+            turned = F.concat(F.lit("In "), F.regexp_extract(line, P.java(P.ROTATED), 2), F.lit(" "), F.regexp_extract(line, P.java(P.ROTATED), 1), F.lit(" But"))
+            line = F.when(matches(line, P.ROTATED), turned).otherwise(line)
+            start = F.greatest(i - 2, F.lit(0))
+            found = F.exists(F.slice(lines, start + 1, i + 3 - start), lambda t: matches(text(t), P.LATER_SUFFIX))
+            line = F.when(matches(line, P.ENDS_WITH_SO) & found, replaced(line, r"(?i)So$", "Sooner or later,")).otherwise(line)
+            return x.withField(field, line) if field else line
 
-    def repaired(line: Column, i: Column) -> Column:
-        turned = F.concat(F.lit("In "), F.regexp_extract(line, P.java(P.ROTATED), 2), F.lit(" "), F.regexp_extract(line, P.java(P.ROTATED), 1), F.lit(" But"))
-        line = F.when(matches(line, P.ROTATED), turned).otherwise(line)
-        start = F.greatest(i - 2, F.lit(0))
-        near = F.slice(lines, start + 1, i + 3 - start)
-        found = F.exists(near, lambda t: matches(t, P.LATER_SUFFIX))
-        return F.when(matches(line, P.ENDS_WITH_SO) & found, replaced(line, r"(?i)So$", "Sooner or later,")).otherwise(line)
+        return F.transform(lines, repaired)
 
-    def step(out: Column, line: Column) -> Column:
-        orphan = matches(line, r"(?i)^Soon$") & F.coalesce(F.endswith(last(out), F.lit("Sooner or later,")), F.lit(False))
-        return F.when(matches(line, P.LATER_FRAGMENT) | orphan, out).otherwise(F.concat(out, F.array(line)))
+    def step(out: Column, x: Column) -> Column:
+        orphan = matches(text(x), r"(?i)^Soon$") & F.coalesce(F.endswith(text(last(out)), F.lit("Sooner or later,")), F.lit(False))
+        return F.when(matches(text(x), P.LATER_FRAGMENT) | orphan, out).otherwise(F.concat(out, F.array(x)))
 
-    return F.aggregate(F.transform(lines, repaired), empty("string"), step)
+    return F.aggregate(let(F.filter(lines, lambda x: text(x) != ""), of), empty(kind), step)
 
 
 MERGED = f"struct<text:string,confidence:double,bbox:{schemas.BOX},words:array<{schemas.WORD}>,center:double,height:double,members:int>"

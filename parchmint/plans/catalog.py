@@ -196,6 +196,24 @@ def duplicate_line_antijoin(spark, sf_dir):
     return lines.without_repeats(rows, ["doc_id"], "ord").select("doc_id", "ord")
 
 
+@query(f"""
+WITH p AS (SELECT doc_id, pass_ix, ord * 7919 % 10007 AS ord, confidence, y0, (y0 + y1) / 2 AS c, greatest(1, y1 - y0) AS h, {D.sql_normal('text')} AS n FROM ({D.SQL_PASSES}) WHERE {D.sql_trim('text')} <> ''),
+q AS (SELECT *, {D.sql_score('n', 'confidence')} AS score, min(pass_ix) OVER (PARTITION BY doc_id) AS first FROM p),
+j AS (
+  SELECT a.doc_id, a.ord AS anchor, a.y0 AS top, b.n, b.y0, b.c, b.h, row_number() OVER (
+    PARTITION BY a.doc_id, a.ord ORDER BY b.score DESC, (b.pass_ix = a.pass_ix AND b.ord = a.ord) DESC, b.pass_ix, b.ord) AS rank
+  FROM q a JOIN q b ON a.doc_id = b.doc_id AND a.pass_ix = a.first AND abs(a.c - b.c) <= greatest(a.h, b.h) * 1.15
+),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY top, anchor) AS at FROM j WHERE rank = 1),
+k AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s e WHERE e.doc_id = s.doc_id AND lower(e.n) = lower(s.n) AND e.at < s.at AND abs(e.c - s.c) <= greatest(e.h, s.h) * 0.8)),
+o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY y0, at) - 1 AS ord, n AS text FROM k)
+SELECT doc_id, ord, text FROM (SELECT *, lag(lower(text)) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM o WHERE text <> '') WHERE before IS NULL OR before <> lower(text)""")
+def searchable_lines(spark, sf_dir):
+    read = D.positioned_passes(spark, sf_dir).filter(text.trim(F.col("text")) != "").withColumn("ord", F.col("ord") * 7919 % 10007)  # read out of order
+    found = lines.selected_lines(read.withColumn("text", text.nfc(F.col("text"))), ["doc_id"], composed=True)
+    return lines.without_consecutive(found, ["doc_id"], "ord", composed=True).select("doc_id", "ord", "text")
+
+
 @query("""
 WITH v AS (SELECT conv_id, turn, regexp_replace(text, '[^ -~]', '?', 'g') AS a, (31 * conv_id + 7 * turn) % 101 AS x, (17 * conv_id + 13 * turn) % 101 AS y FROM conversations),
 w AS (SELECT *, CASE turn % 3 WHEN 0 THEN a WHEN 1 THEN replace(replace(a, 'a', 'á'), 'o', 'ợ') ELSE reverse(a) END AS b FROM v),
