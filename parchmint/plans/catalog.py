@@ -204,9 +204,9 @@ j AS (
     PARTITION BY a.doc_id, a.ord ORDER BY b.score DESC, (b.pass_ix = a.pass_ix AND b.ord = a.ord) DESC, b.pass_ix, b.ord) AS rank
   FROM q a JOIN q b ON a.doc_id = b.doc_id AND a.pass_ix = a.first AND abs(a.c - b.c) <= greatest(a.h, b.h) * 1.15
 ),
-s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY top, anchor) AS at FROM j WHERE rank = 1),
-k AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s e WHERE e.doc_id = s.doc_id AND lower(e.n) = lower(s.n) AND e.at < s.at AND abs(e.c - s.c) <= greatest(e.h, s.h) * 0.8)),
-o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY y0, at) - 1 AS ord, n AS text FROM k)
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY top, anchor) AS place FROM j WHERE rank = 1),
+k AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM s e WHERE e.doc_id = s.doc_id AND lower(e.n) = lower(s.n) AND e.place < s.place AND abs(e.c - s.c) <= greatest(e.h, s.h) * 0.8)),
+o AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY y0, place) - 1 AS ord, n AS text FROM k)
 SELECT doc_id, ord, text FROM (SELECT *, lag(lower(text)) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM o WHERE text <> '') WHERE before IS NULL OR before <> lower(text)""")
 def searchable_lines(spark, sf_dir):
     read = D.positioned_passes(spark, sf_dir).filter(text.trim(F.col("text")) != "").withColumn("ord", F.col("ord") * 7919 % 10007)  # read out of order
