@@ -204,9 +204,10 @@ def _summed(rows: pa.Table, distinct: np.ndarray, place: np.ndarray, kind: str)
     return np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
 
 
-def coded(values: np.ndarray) -> bytes:
-    """Doubles, of which few are distinct, as the distinct ones and a place for each."""
-    distinct, place = np.unique(values, return_inverse=True)
+def coded(values: np.ndarray, place: np.ndarray) -> bytes:
+    """values[place], of which few are distinct, as the distinct ones and a place for each."""
+    used, place = numbered(place, len(values))
+    distinct = values[used]
     wide = "<u2" if len(distinct) <= 1 << 16 else "<u4"
     return zstandard.ZstdCompressor(level=1).compress(struct.pack("<II", len(distinct), int(wide[2])) + distinct.astype("<f8").tobytes() + place.astype(wide).tobytes())
 
@@ -236,7 +237,8 @@ def answers(low: Broadcast):
             keys = [np.frombuffer(x, dtype="<u8") for x in rows.column("keys").to_pylist()]
             ks, place = np.unique(np.concatenate(keys), return_inverse=True)
             p = leaf_log_p(ks, _summed(rows, ks, place, "<u4"), low.value)
-            out = [coded(x) for x in np.split(p[place], np.cumsum([len(k) for k in keys])[:-1])]
+            values, of = np.unique(p, return_inverse=True)
+            out = [coded(values, x) for x in np.split(of[place], np.cumsum([len(k) for k in keys])[:-1])]
         zeros = [0] * (m - 1)
         cols = ([kind] * m, [bucket] * m, rows.column("chunk").to_pylist(), out, [tokens, *zeros], [distinct, *zeros])
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
