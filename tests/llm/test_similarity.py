@@ -100,3 +100,24 @@ def test_a_posting_is_compared_whole(monkeypatch, strip, n):
     part = rng.integers(0, 3, n)
     found = {(min(x), max(x)) for i, j in S.posting_pairs(nodes, fps, part) for x in zip((i - 1000).tolist(), (j - 1000).tolist())}
     assert found == {(i, j) for i, j in zip(*np.nonzero(np.triu(near & (part[:, None] != part[None]), 1)))}
+
+
+def test_each_near_pair_leaves_one_posting_and_a_forest_connects_them_all(spark):
+    rng = np.random.default_rng(7)
+    bits = np.unpackbits(np.repeat(rng.integers(0, 256, (4, S.BYTES), dtype=np.uint8), 40, axis=0), axis=1)
+    fps = np.packbits(bits ^ (rng.random(bits.shape) < rng.choice([0.005, 0.03, 0.09], (len(bits), 1))), axis=1)
+    keys = S.posting_keys(fps, 12)
+    near = (differing(fps) <= S.MAX_DIFFERENT) & (keys[:, None] == keys[None]).any(axis=2)
+    pairs = [(int(i), int(j)) for i, j in zip(*np.nonzero(np.triu(near, 1)))]
+    assert len(pairs) > 1000
+    for i, j in pairs[::7]:
+        shared = np.unique(keys[i][keys[i] == keys[j]])
+        x, y = (np.repeat(fps[k : k + 1], len(shared), axis=0) for k in (i, j))
+        assert S.owned(shared, x, y, 12).tolist() == [True] + [False] * (len(shared) - 1)
+    rows = [(k, f.tobytes(), k) for k, f in enumerate(fps)]
+    classes = spark.createDataFrame(rows, "node long, fp binary, part long")
+    assert sorted((r.a, r.b) for r in S.near(classes).collect()) == sorted(pairs)
+    links = [(r.a, r.b) for r in S.near(classes.select("node", "fp")).collect()]
+    assert set(links) <= set(pairs) and len(links) < len(pairs) / 2
+    a, b = np.array(links).T
+    assert _labels(len(fps), a, b).tolist() == smallest(len(fps), near)
