@@ -1,6 +1,7 @@
 """Recognised words of a line: split-word repair, noise filter, flags, runs, metrics and regions for another look.
 
-All are expressions over ARRAY<word> columns, so that a line needs no exchange; folds are aggregate().
+What needs a word's text or its neighbours is found out by kernels over a batch of lines (`line_kernels`); the words, their
+metrics and regions are put together by expressions over ARRAY<word> columns. No line needs an exchange.
 """
 
 from __future__ import annotations
@@ -9,69 +10,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parchmint import schemas
-from parchmint.functions import patterns as P
-from parchmint.functions.arrays import bounds, empty, let, nfc_all, runs_between, runs_of, sorted_by
-from parchmint.functions.stats import median_high
-from parchmint.functions.text import joined_line, matches, normalize_token
+from parchmint.functions.arrays import bounds, empty, runs_of, sorted_by
+from parchmint.operators import line_kernels
 from parchmint.operators.folds import joined_words
+from parchmint.operators.line_kernels import LOW_CONFIDENCE
 
-LOW_CONFIDENCE, NOISE_CONFIDENCE, SPECK_CONFIDENCE = 82, 32, 55
-COMPACT, BASELINE, BESIDE = 0.68, 0.8, 0.2
 PAD = 12
 
 
-def height(word: Column) -> Column:
-    return F.coalesce(F.greatest(F.lit(1.0), word["bbox"]["y1"] - word["bbox"]["y0"]), F.lit(1.0))
-
-
-def bottom(word: Column) -> Column:
-    return F.coalesce(word["baseline"]["y1"], word["bbox"]["y1"], F.lit(0.0))
-
-
-def typical_height(words: Column) -> Column:
-    """Upper median of all heights, those of words of several characters twice."""
-    several = F.filter(words, lambda w: F.length(w["text"]) > 1)
-    return median_high(F.concat(F.transform(several, height), F.transform(words, height)))
-
-
-def is_glyph(text: Column) -> Column:
-    """One letter or digit that is not a word by itself."""
-    return matches(text, P.ONE_ALNUM) & ~matches(text, P.ONE_LETTER_WORD)
-
-
-def same_baseline(a: Column, b: Column, typical: Column) -> Column:
-    return F.abs(bottom(a) - bottom(b)) <= typical * BASELINE
-
-
-def normalized_words(words: Column) -> Column:
-    """Words with normalised text, without those that have none."""
-    texts = nfc_all(F.transform(words, lambda w: w["text"]))
-    pairs = F.arrays_zip(words.alias("w"), texts.alias("t"))
-    fresh = F.transform(pairs, lambda p: p["w"].withField("text", normalize_token(p["t"], composed=True)))
-    return F.filter(fresh, lambda w: w["text"] != "")
-
-
-def processed_words(words: Column) -> Column:
+def processed_words(words: Column, marks: Column) -> Column:
     """PROCESSED_WORD for each normalised word: removed as noise between two words, or flagged as doubtful. Other fields stay."""
 
-    def with_typical(s: Column) -> Column:
-        all_words, typical = s["words"], s["typical"]
-
-        def one(w: Column, i: Column) -> Column:
-            before, after = F.get(all_words, i - 1), F.get(all_words, i + 1)
-            inline = same_baseline(w, before, typical) & same_baseline(w, after, typical)
-            beside = (w["bbox"]["x0"] >= before["bbox"]["x1"] - typical * BESIDE) & (w["bbox"]["x1"] <= after["bbox"]["x0"] + typical * BESIDE)
-            faint = ((w["confidence"] < SPECK_CONFIDENCE) & (height(w) < typical * COMPACT)) | (w["confidence"] < NOISE_CONFIDENCE)
-            # the ends of a line have no neighbour, and words without a box are never beside one: null is false
-            short = F.length(w["text"]) == 1  # before the patterns, which only then can match
-            noise = F.coalesce(short & faint & before.isNotNull() & after.isNotNull() & is_glyph(w["text"]) & inline & beside, F.lit(False))
-            doubtful = ~noise & (w["confidence"] < LOW_CONFIDENCE) & ~matches(w["text"], P.PUNCTUATION_ONLY)
-            reason = F.when(noise, "isolated-noise").when(doubtful, "low-confidence")
-            return w.withField("removed", noise).withField("flagged", doubtful).withField("reason", reason)
+    def one(m: Column) -> Column:
+        reason = F.when(m["removed"], "isolated-noise").when(m["flagged"], "low-confidence")
+        return F.get(words, m["at"]).withField("text", m["text"]).withField("removed", m["removed"]).withField("flagged", m["flagged"]).withField("reason", reason)
 
-        return F.transform(all_words, one)
-
-    return let(F.struct(words.alias("words"), typical_height(words).alias("typical")), with_typical)
+    return F.transform(marks, one)
 
 
 def line_metrics(processed: Column) -> Column:
@@ -98,28 +52,10 @@ def retry_regions(processed: Column) -> Column:
     return F.transform(F.filter(processed, lambda w: (w["flagged"] | w["removed"]) & w["bbox"].isNotNull()), region)
 
 
-def text_runs(kept: Column) -> Column:
-    """RUN of neighbours that are alike flagged; a run's confidence is its lowest."""
-
-    def of(words: Column) -> Column:
-        opening = F.array_position(F.transform(words, lambda w: matches(w["text"], P.OPENERS)), F.lit(False)).cast("int") - 1  # opening marks before all else
-        begins = F.filter(F.transform(words, lambda w, i: F.when((i == 0) | (w["flagged"] != F.get(words, i - 1)["flagged"]), i)), lambda i: i.isNotNull())
-        runs = let(begins, lambda b: runs_between(b, F.size(words)))
-
-        def spaced(s: Column) -> Column:
-            glued = lambda w, i: (i <= F.when(s["opening"] < 0, i).otherwise(s["opening"])) | (i == 0) | matches(w["text"], P.CLOSERS)
-            texts = F.transform(words, lambda w, i: F.concat(F.when(glued(w, i), "").otherwise(" "), w["text"]))
-            pairs = F.arrays_zip(words.alias("w"), texts.alias("t"))
-            return let(F.struct(pairs.alias("pairs"), s["runs"].alias("runs")), lambda q: runs_of(q["pairs"], q["runs"], run))
-
-        return let(F.struct(opening.alias("opening"), runs.alias("runs")), spaced)
-
-    def run(own: Column) -> Column:
-        first = F.get(own, F.lit(0))["w"]
-        text = F.array_join(F.transform(own, lambda x: x["t"]), "")
-        return F.struct(text.alias("text"), F.array_min(F.transform(own, lambda x: x["w"]["confidence"])).alias("confidence"), first["flagged"].alias("flagged"), first["bbox"].alias("bbox"))
-
-    return F.when(F.size(kept) > 0, let(kept, of)).otherwise(empty(schemas.RUN))
+def text_runs(words: Column, runs: Column) -> Column:
+    """RUN of neighbours that are alike flagged; a run's confidence is its lowest, its box that of its first word."""
+    of = lambda r: F.struct(r["text"].alias("text"), r["confidence"].alias("confidence"), r["flagged"].alias("flagged"), F.get(words, r["at"])["bbox"].alias("bbox"))
+    return F.when(F.size(runs) > 0, F.transform(runs, of)).otherwise(empty(schemas.RUN))
 
 
 def repaired_words(lines: DataFrame, words: str = "words", into: str = "words") -> DataFrame:
@@ -140,12 +76,8 @@ def repaired_words(lines: DataFrame, words: str = "words", into: str = "words")
 
 
 def process_lines(lines: DataFrame, words: str = "words", repair: bool = False) -> DataFrame:
-    """Adds text, processed, runs, metrics and retry_regions to lines that have an ARRAY<word> column."""
+    """Adds text, n_words, processed, runs, metrics and retry_regions to lines that have an ARRAY<word> column."""
     out = repaired_words(lines, words, "_source") if repair else lines.withColumn("_source", F.coalesce(F.col(words), F.array().cast(lines.schema[words].dataType)))
-    out = out.withColumn("_normal", normalized_words(F.col("_source")))
-    out = out.withColumn("processed", processed_words(F.col("_normal"))).drop("_source", "_normal")
-    kept = F.filter("processed", lambda w: ~w["removed"])
-    return out.withColumns({
-        "text": joined_line(F.transform(kept, lambda w: w["text"])), "runs": text_runs(kept),
-        "metrics": line_metrics(F.col("processed")), "retry_regions": retry_regions(F.col("processed")),
-    })
+    out = out.withColumns({"_marks": line_kernels.marks("_source"), "_texts": line_kernels.texts("_source"), "_runs": line_kernels.runs("_source")})
+    out = out.withColumns({"processed": processed_words(F.col("_source"), F.col("_marks")), "text": F.col("_texts.text"), "n_words": F.col("_texts.n_words"), "runs": text_runs(F.col("_source"), F.col("_runs"))})
+    return out.withColumns({"metrics": line_metrics(F.col("processed")), "retry_regions": retry_regions(F.col("processed"))}).drop("_source", "_marks", "_texts", "_runs")
