@@ -78,7 +78,7 @@ def test_marks_and_runs_equal_their_definition_on_odd_lines(spark):
     assert removed > 5
 
 
-@pytest.mark.parametrize("name", ["joined_line_text", "ocr_noise_flags"])
+@pytest.mark.parametrize("name", ["joined_line_text", "ocr_noise_flags", "text_runs"])
 def test_words_are_not_matched_one_by_one(spark, name):
     """A pattern in a lambda is interpreted word by word: at 1 GB these queries did not end in time."""
     spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
