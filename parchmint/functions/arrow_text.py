@@ -61,8 +61,8 @@ def _coded(values: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 def counts(texts: pa.Array) -> pa.Array:
     """Of normalised texts struct<tokens, noisy, joined, malformed>: what text.candidate_score counts."""
-    texts_or_empty = pc.fill_null(texts, "")
-    lists = pc.split_pattern(texts_or_empty, " ")
+    none = texts.is_null().to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(texts, " ")
     sizes, tokens = list_sizes(lists), lists.flatten()
     code, distinct = _coded(tokens)
     real = pc.not_equal(distinct, "").to_numpy(zero_copy_only=False)
@@ -70,7 +70,7 @@ def counts(texts: pa.Array) -> pa.Array:
     at = offsets(sizes)
 
     def total(flags: np.ndarray) -> pa.Array:
-        return pa.array(np.diff(np.concatenate([[0], np.cumsum(flags[code])])[at]).astype(np.int32))
+        return pa.array(np.diff(np.concatenate([[0], np.cumsum(flags[code])])[at]).astype(np.int32), mask=none)
 
-    found = [total(real), total(noisy), *[pc.cast(pc.count_substring_regex(texts_or_empty, P.re2(p)), pa.int32()) for p in (P.JOINED_SENTENCE, P.MALFORMED)]]
+    found = [total(real), total(noisy), *[pc.cast(pc.count_substring_regex(texts, P.re2(p)), pa.int32()) for p in (P.JOINED_SENTENCE, P.MALFORMED)]]
     return pa.StructArray.from_arrays(found, ["tokens", "noisy", "joined", "malformed"])

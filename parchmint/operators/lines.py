@@ -9,7 +9,7 @@ from parchmint import schemas
 from parchmint.functions import patterns as P
 from parchmint.functions.arrays import box_union, empty, last, let, sorted_by
 from parchmint.functions.stats import ranked_value
-from parchmint.functions.text import candidate_score, is_suspicious, matches, normalize_text, replaced
+from parchmint.functions.text import is_suspicious, matches, measured_text, normalize_text, replaced, score_of
 
 BAND, SAME_ROW, FRAGMENT = 1.15, 0.8, 0.72
 
@@ -22,25 +22,28 @@ def _height(box: Column) -> Column:
     return F.greatest(F.lit(1.0), box["y1"] - box["y0"])
 
 
-def best_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
+def best_lines(lines: DataFrame, keys: list[str], composed: bool = False, normal: str | None = None) -> DataFrame:
     """For each line of a page's first pass with lines, the best-scored line of any pass at its height; the line itself wins ties.
 
-    lines: keys, pass_ix, ord, text, confidence, bbox and more. Result: keys, anchor_ord, anchor_bbox and all columns of the chosen line.
+    lines: keys, pass_ix, ord, text (composed: in NFC already), confidence, bbox and more. Result: keys, anchor_ord, anchor_bbox and
+    all columns of the chosen line, with its normalised text as the column `normal`, if that is named.
     The band join gets an equality key: bands of the page's largest reach, each anchor looking at its own and both neighbours.
     """
-    rows = lines.withColumns({"_c": _center(F.col("bbox")), "_h": _height(F.col("bbox")), "_score": candidate_score(F.col("text"), F.col("confidence"))})
+    rows = lines.withColumns({"_c": _center(F.col("bbox")), "_h": _height(F.col("bbox")), "_measured": measured_text(F.col("text"), composed)})
+    rows = rows.withColumn("_score", score_of(F.col("_measured"), F.col("confidence")))
+    rows = (rows.withColumn(normal, F.col("_measured.text")) if normal else rows).drop("_measured")
     page = rows.groupBy(*keys).agg(F.max("_h").alias("_top"), F.min("pass_ix").alias("_first"))
     rows = rows.join(page, keys).withColumn("_band", F.floor(F.col("_c") / (F.col("_top") * BAND)))
     anchors = rows.filter(F.col("pass_ix") == F.col("_first")).select(*keys, F.col("ord").alias("anchor_ord"), F.col("bbox").alias("anchor_bbox"), F.col("_c").alias("_ac"), F.col("_h").alias("_ah"), F.col("_first").alias("_pass"), F.explode(F.sequence(F.col("_band") - 1, F.col("_band") + 1)).alias("_band"))
     near = anchors.join(rows, [*keys, "_band"]).filter(F.abs(F.col("_c") - F.col("_ac")) <= F.greatest("_h", "_ah") * BAND)
     own = (F.col("pass_ix") == F.col("_pass")) & (F.col("ord") == F.col("anchor_ord"))
     best = Window.partitionBy(*keys, "anchor_ord").orderBy(F.desc("_score"), F.desc(own), "pass_ix", "ord")
-    return near.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").select(*keys, "anchor_ord", "anchor_bbox", *[c for c in lines.columns if c not in keys])
+    return near.withColumn("_rank", F.row_number().over(best)).filter("_rank = 1").select(*keys, "anchor_ord", "anchor_bbox", *[c for c in lines.columns if c not in keys], *[normal] * bool(normal))
 
 
-def without_repeats(lines: DataFrame, keys: list[str], order: str, composed: bool = False) -> DataFrame:
-    """Lines (composed: in NFC already) for which no earlier line of the page has the same normalised text at the same height."""
-    rows = lines.withColumn("_same", F.lower(normalize_text(F.col("text"), composed)))
+def without_repeats(lines: DataFrame, keys: list[str], order: str, composed: bool = False, normal: str | None = None) -> DataFrame:
+    """Lines (composed: in NFC already; normal: a column with their normalised text) for which no earlier line of the page has the same normalised text at the same height."""
+    rows = lines.withColumn("_same", F.lower(F.col(normal) if normal else normalize_text(F.col("text"), composed)))
     before = rows.select(*keys, "_same", F.col(order).alias("_before"), F.col("bbox").alias("_box"))
     height = F.greatest(_height(F.col("bbox")), _height(F.col("_box")))
     earlier = (F.col("_before") < F.col(order)) & (F.abs(_center(F.col("bbox")) - _center(F.col("_box"))) <= height * SAME_ROW)
@@ -51,14 +54,16 @@ def without_repeats(lines: DataFrame, keys: list[str], order: str, composed: boo
     return rows.join(before, condition, "left_anti").drop("_same")
 
 
-def selected_lines(passes: DataFrame, keys: list[str], composed: bool = False) -> DataFrame:
+def selected_lines(passes: DataFrame, keys: list[str], composed: bool = False, normal: str | None = None) -> DataFrame:
     """The best lines of a page's passes without repeats, numbered (ord) from top to bottom and left to right.
 
-    Repeats are looked for in the order of the lines that they were chosen for, the reading order of the first pass.
+    Repeats are looked for in the order of the lines that they were chosen for, the reading order of the first pass. With `normal`
+    their normalised text is a column of that name.
     """
-    best = best_lines(passes, keys).withColumn("_at", F.row_number().over(in_reading_order(keys, "anchor_bbox", "anchor_ord")))
-    kept = without_repeats(best, keys, "_at", composed)
-    return kept.withColumn("ord", (F.row_number().over(in_reading_order(keys, "bbox", "_at")) - 1).cast("long")).drop("_at", "anchor_ord", "anchor_bbox")
+    fresh = normal or "_normal"
+    best = best_lines(passes, keys, composed, fresh).withColumn("_at", F.row_number().over(in_reading_order(keys, "anchor_bbox", "anchor_ord")))
+    kept = without_repeats(best, keys, "_at", normal=fresh)
+    return kept.withColumn("ord", (F.row_number().over(in_reading_order(keys, "bbox", "_at")) - 1).cast("long")).drop("_at", "anchor_ord", "anchor_bbox", *["_normal"] * (not normal))
 
 
 def in_reading_order(keys: list[str], box: str = "bbox", ordinal: str = "ord"):
@@ -66,9 +71,9 @@ def in_reading_order(keys: list[str], box: str = "bbox", ordinal: str = "ord"):
     return Window.partitionBy(*keys).orderBy(F.col(box)["y0"], F.col(box)["x0"], ordinal)
 
 
-def without_consecutive(lines: DataFrame, keys: list[str], order: str, text: str = "text", composed: bool = False) -> DataFrame:
-    """Normalised lines that are not empty and differ, but for case, from the one before."""
-    rows = lines.withColumn(text, normalize_text(F.col(text), composed)).filter(F.col(text) != "")
+def without_consecutive(lines: DataFrame, keys: list[str], order: str, text: str = "text", composed: bool = False, normal: str | None = None) -> DataFrame:
+    """Normalised lines (normal: the column that has them normalised already) that are not empty and differ, but for case, from the one before."""
+    rows = lines.withColumn(text, F.col(normal) if normal else normalize_text(F.col(text), composed)).filter(F.col(text) != "")
     w = Window.partitionBy(*keys).orderBy(order)
     before = F.lag(F.lower(text)).over(w)
     return rows.withColumn("_again", F.coalesce(before == F.lower(text), F.lit(False))).filter(~F.col("_again")).drop("_again")

@@ -86,3 +86,21 @@ def test_fragments_of_a_row_merge(spark):
     df = spark.createDataFrame([(lines,)], f"l array<{schemas.OCR_LINE}>")
     got = df.select(L.merged_fragments(F.col("l")).alias("m")).first().m
     assert [(r.text, r.confidence) for r in got] == [("a b", 85.0), ("c", 70.0), ("d", 60.0)]
+
+
+def test_texts_of_a_batch_are_normalised_and_scored_like_single_ones(spark):
+    rng, odd = random.Random(6), ["a", "x", "|", "©", "the", "b|d", "pu", "casy", "End.Next", "ocial", "ButIn", "wor’", "phon1e", "i.", "Soon", "your", "(", "word", ")", ",", "é", "​", "–", " ", " ", "\t", "　", "7", "é", ""]
+    rows = [("".join(rng.choice(odd) + rng.choice(["", " ", "  "]) for _ in range(rng.randrange(12))), float(k % 101)) for k in range(3000)] + [(None, 5.0), ("", 6.0)]
+    text, sure = F.col("text"), F.col("confidence")
+    m = spark.createDataFrame(rows, "text string, confidence double").repartition(3).withColumn("m", T.measured_text(text))
+    got = m.select("text", F.col("m.text").alias("a"), T.normalize_text(text).alias("b"), T.score_of(F.col("m"), sure).alias("x"), T.candidate_score(text, sure).alias("y")).collect()
+    assert len(got) == 3002 and all(r.a == r.b for r in got)
+    assert all(r.x == r.y for r in got) and len({r.x - int(r.x) for r in got if r.text}) > 5
+
+
+def test_a_line_is_normalised_once_and_not_token_by_token(spark):
+    """A pattern in a lambda is interpreted token by token: at 1 GB searchable_lines did not end in time."""
+    from parchmint.plans import catalog
+
+    plan = catalog.searchable_lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "_measured" in plan
