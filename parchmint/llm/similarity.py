@@ -3,7 +3,9 @@
 Documents whose five-word shingles are similar to 0.8 (Jaccard) differ in 15 % of SimHash bits, up to 16 of 64, so that
 no positional byte of eight is sure to agree and a short fingerprint can't separate them from others. Here the fingerprint
 has BYTES positional bytes (512 bits) over the set of shingles; the index has KEYS combinations of three of them, of which
-a pair at 0.8 shares one with a probability of 96 % and a pair at 0.85 with 99.5 %. Pairs of a posting that differ in at
+a pair at 0.8 shares one with a probability of 96 % and a pair at 0.85 with 99.5 %. Within a posting the shared positional
+bytes of each pair are tallied; pairs with fewer than a combination has (met by a collision of posting numbers alone) are
+dropped, the rest verified by their differing bits. Pairs of a posting that differ in at
 most MAX_DIFFERENT bits (0.8 means 78, with a standard deviation of 8) are near. Only a spanning forest of a posting's near
 pairs leaves the task, however large the posting is; the nearest come first. Each of these pairs is compared shingle by
 shingle, and only similar ones are links. Where a refused pair leaves two parts unconnected, all near pairs between such
@@ -100,8 +102,26 @@ def owned(key: np.ndarray, x: np.ndarray, y: np.ndarray, buckets: int, positions
     return out
 
 
+def shared_bytes(differ: np.ndarray) -> np.ndarray:
+    """How many of the positional bytes are equal, of exclusive ors (..., words) of fingerprints."""
+    low = np.uint64(0x7F7F7F7F7F7F7F7F)
+    return np.bitwise_count(~(((differ & low) + low) | differ | low)).sum(axis=-1, dtype=np.uint16)
+
+
+def verified(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs of fingerprints (as words) share enough positional bytes and, verified, differ in at most `most` bits; in how many.
+
+    The tally is made of all pairs that a cheaper count of bits leaves, which are the same ones in either order.
+    """
+    differ = x ^ y
+    bits = np.bitwise_count(differ).sum(axis=-1, dtype=np.uint16)
+    ok = bits <= most
+    ok[ok] = shared_bytes(differ[ok]) >= KEY_BYTES
+    return ok, bits
+
+
 def near_pairs(fps: np.ndarray, part: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All places i, j of different parts whose fps differ in at most `most` bits, each pair once, and in how many; a strip at a time.
+    """All places i, j of different parts whose fps share KEY_BYTES positional bytes and differ in at most `most` bits, each pair once, and in how many; a strip at a time.
 
     What part says may change from strip to strip. Rows of one part are compared with the other parts alone.
     """
@@ -114,8 +134,8 @@ def near_pairs(fps: np.ndarray, part: np.ndarray, most: int) -> Iterator[tuple[n
             other = other[part[other] != part[own[0]]]
         for at in range(0, len(other), STRIP):
             to = other[at : at + STRIP]
-            differ = np.bitwise_count(wide[own, None] ^ wide[None, to]).sum(axis=2, dtype=np.uint16)
-            x, y = np.nonzero((differ <= most) & (part[own, None] != part[None, to]) & (rank[own, None] < rank[None, to]))
+            near, differ = verified(wide[own, None], wide[None, to], most)
+            x, y = np.nonzero(near & (part[own, None] != part[None, to]) & (rank[own, None] < rank[None, to]))
             if len(x):
                 yield own[x], to[y], differ[x, y]
 
@@ -201,7 +221,7 @@ def near(classes: DataFrame) -> DataFrame:
         bounds = np.flatnonzero(np.r_[True, np.diff(key[order]) != 0, True])
         size = np.diff(bounds)
         x, y = (order[bounds[:-1][size == 2] + k] for k in (0, 1))  # postings of two, all at once
-        ok = np.bitwise_count(fps.view(np.uint64)[x] ^ fps.view(np.uint64)[y]).sum(axis=1) <= MAX_DIFFERENT
+        ok = verified(fps.view(np.uint64)[x], fps.view(np.uint64)[y], MAX_DIFFERENT)[0]
         ok &= (node[x] != node[y]) & (part[x] != part[y])
         x, y = x[ok], y[ok]
         ok = owned(key[x], fps[x], fps[y], buckets, INDEX)

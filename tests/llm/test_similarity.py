@@ -121,3 +121,20 @@ def test_each_near_pair_leaves_one_posting_and_a_forest_connects_them_all(spark)
     assert set(links) <= set(pairs) and len(links) < len(pairs) / 2
     a, b = np.array(links).T
     assert _labels(len(fps), a, b).tolist() == smallest(len(fps), near)
+
+
+def test_pairs_are_tallied_by_their_positional_bytes():
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 256, (400, S.BYTES), dtype=np.uint8)
+    y = x.copy()
+    for k in range(400):  # one bit of all but k % 65 bytes
+        at = rng.permutation(S.BYTES)[k % 65 :]
+        y[k, at] ^= np.uint8(1) << rng.integers(0, 8, len(at)).astype(np.uint8)
+    differ = x.view(np.uint64) ^ y.view(np.uint64)
+    assert S.shared_bytes(differ).tolist() == [k % 65 for k in range(400)] == (x == y).sum(axis=1).tolist()
+    ok, bits = S.verified(x.view(np.uint64), y.view(np.uint64), S.MAX_DIFFERENT)
+    assert bits.tolist() == [64 - k % 65 for k in range(400)] and ok.tolist() == [k % 65 >= S.KEY_BYTES for k in range(400)]
+    two = np.stack([x[2], y[2]])  # 62 differing bits, but met by a collision: two bytes in common make no combination
+    assert not list(S.near_pairs(two, np.arange(2), S.MAX_DIFFERENT)) and not list(S.forest(two))
+    three = np.stack([x[3], y[3]])
+    assert len(list(S.near_pairs(three, np.arange(2), S.MAX_DIFFERENT))) == 1
