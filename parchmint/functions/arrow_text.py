@@ -15,6 +15,13 @@ def matches(values: pa.Array, pattern: str) -> np.ndarray:
     return pc.fill_null(pc.match_substring_regex(values, P.re2(pattern)), False).to_numpy(zero_copy_only=False)
 
 
+def matches_of(values: pa.Array, where: np.ndarray, pattern: str) -> np.ndarray:
+    """matches for the strings at `where`, false elsewhere."""
+    out = np.zeros(len(values), dtype=bool)
+    out[where] = matches(values.filter(pa.array(where)), pattern)
+    return out
+
+
 def replaced(values: pa.Array, pattern: str, by: str) -> pa.Array:
     return pc.replace_substring_regex(values, P.re2(pattern), by.replace("$", "\\"))
 
@@ -26,6 +33,17 @@ def normalize_token(values: pa.Array, composed: bool = False) -> pa.Array:
     return pc.utf8_trim(replaced(out, r"\s+", " "), characters=" ")
 
 
+def plain_tokens(values: pa.Array) -> np.ndarray:
+    """Whether each string is of ASCII letters and digits alone, which neither normalisation changes nor a mark is in."""
+    return pc.fill_null(pc.ascii_is_alnum(values), False).to_numpy(zero_copy_only=False)
+
+
+def normalize_tokens(values: pa.Array) -> pa.Array:
+    """normalize_token of strings of which most are plain."""
+    odd = pa.array(~plain_tokens(values))
+    return pc.replace_with_mask(values, odd, normalize_token(values.filter(odd)))
+
+
 def normalize_text(values: pa.Array, composed: bool = False) -> pa.Array:
     """text.normalize_text of each string."""
     out = normalize_token(values, composed)

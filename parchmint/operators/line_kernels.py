@@ -7,6 +7,8 @@ deterministic, which they are, so that the optimizer neither repeats them in a f
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,6 +22,18 @@ from parchmint.functions import patterns as P
 
 LOW_CONFIDENCE, NOISE_CONFIDENCE, SPECK_CONFIDENCE = 82, 32, 55
 COMPACT, BASELINE, BESIDE = 0.68, 0.8, 0.2
+PART = 1 << 20  # words that a kernel looks at at once
+
+
+def _in_parts(kernel: Callable[[pa.Array], pa.Array]) -> Callable[[pa.Array], pa.Array]:
+    """The kernel over one part of a batch after the other, whole lines each: a batch of long lines has many times the words of others."""
+
+    @functools.wraps(kernel)
+    def run(lists: pa.Array) -> pa.Array:
+        ends = [*(np.flatnonzero(np.diff(np.cumsum(A.list_sizes(lists)) // PART)) + 1).tolist(), len(lists)]
+        return kernel(lists) if len(ends) == 1 else pa.concat_arrays([kernel(lists.slice(a, b - a)) for a, b in zip([0, *ends], ends)])
+
+    return run
 
 
 def _field(items: pa.StructArray, name: str) -> pa.Array | None:
@@ -66,10 +80,17 @@ class Words:
 
 def _typical(line: np.ndarray, tall: np.ndarray, several: np.ndarray, n: int) -> np.ndarray:
     """Each line's upper median of heights, those of words of several characters twice."""
-    heights, code = np.unique(tall, return_inverse=True)
-    weight = 1 + several.astype(np.int64)
-    cells, cell = np.unique(line * len(heights) + code, return_inverse=True)
-    count = np.bincount(cell, weights=weight).astype(np.int64)
+    found = pa.array(tall).dictionary_encode()
+    heights, rank = np.unique(found.dictionary.to_numpy(), return_inverse=True)
+    code = rank[found.indices.to_numpy()] if len(tall) else np.zeros(0, dtype=np.int64)
+    weight, cell = 1 + several.astype(np.int64), line * len(heights) + code
+    if n * len(heights) <= 4 * len(tall):  # few heights: a cell for each of them in each line
+        count = np.bincount(cell, weights=weight, minlength=n * len(heights)).astype(np.int64)
+        cells = np.flatnonzero(count)
+        count = count[cells]
+    else:
+        cells, cell = np.unique(cell, return_inverse=True)
+        count = np.bincount(cell, weights=weight).astype(np.int64)
     of = cells // max(1, len(heights))
     total = np.bincount(of, weights=count, minlength=n).astype(np.int64)
     before = np.cumsum(count) - (np.cumsum(total) - total)[of]  # of the line, up to and with the cell
@@ -84,7 +105,7 @@ def words_of(lists: pa.Array) -> Words:
     line = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(line)) - (np.cumsum(sizes) - sizes)[line]
     found = _field(flat, "text").dictionary_encode()
-    fresh = A.normalize_token(found.dictionary)
+    fresh = A.normalize_tokens(found.dictionary)
     code = pc.fill_null(found.indices, -1).to_numpy(zero_copy_only=False)
     full = np.r_[pc.not_equal(fresh, "").to_numpy(zero_copy_only=False), False].astype(bool)
     own = np.flatnonzero(full[code])  # the last entry, false, is of null
@@ -100,7 +121,8 @@ def words_of(lists: pa.Array) -> Words:
         tall = np.where(has_y0 & has_y1, np.maximum(1.0, y1 - y0), 1.0)
     length = pc.utf8_length(fresh).to_numpy(zero_copy_only=False)
     removed = np.zeros(n, dtype=bool)
-    glyph = A.matches(fresh, P.ONE_ALNUM) & ~A.matches(fresh, P.ONE_LETTER_WORD)
+    single, marked = length == 1, ~A.plain_tokens(fresh)
+    glyph = A.matches_of(fresh, single, P.ONE_ALNUM) & ~A.matches_of(fresh, single, P.ONE_LETTER_WORD)
     with np.errstate(invalid="ignore"):
         typical = _typical(line, tall, each(length > 1), len(sizes))
         k = np.flatnonzero(each(glyph) & sure)
@@ -112,11 +134,11 @@ def words_of(lists: pa.Array) -> Words:
         beside = ~_less(x0[k], x1[b] - t * BESIDE) & ~_less(x0[a] + t * BESIDE, x1[k]) & has_x0[k] & has_x1[b] & has_x1[k] & has_x0[a]
         removed[k[faint & inline & beside]] = True
         doubtful = _less(confidence, np.float64(LOW_CONFIDENCE))
-    plain = each(A.matches(fresh, P.PUNCTUATION_ONLY)) | removed
+    plain = each(A.matches_of(fresh, marked, P.PUNCTUATION_ONLY)) | removed
     last = pc.utf8_slice_codeunits(fresh, -1)
     return Words(
         np.bincount(line, minlength=len(sizes)), at, fresh.take(pa.array(code)), confidence, sure, removed, sure & doubtful & ~plain, sure | plain,
-        each(A.matches(fresh, P.CLOSERS)), each(A.matches(fresh, P.OPENERS)), each(A.matches(last, P.OPENERS)),
+        each(A.matches_of(fresh, marked, P.CLOSERS)), each(A.matches_of(fresh, marked, P.OPENERS)), each(A.matches_of(last, marked, P.OPENERS)),
     )
 
 
@@ -130,12 +152,14 @@ def _firsts(sizes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+@_in_parts
 def _marks(lists: pa.Array) -> pa.Array:
     w = words_of(lists)
     flagged = pa.array(w.flagged, mask=~w.known)
     return _lists(w.sizes, {"at": pa.array(w.at.astype(np.int32)), "text": w.text, "removed": pa.array(w.removed), "flagged": flagged})
 
 
+@_in_parts
 def _texts(lists: pa.Array) -> pa.Array:
     w = words_of(lists)
     k = w.kept()
@@ -144,6 +168,7 @@ def _texts(lists: pa.Array) -> pa.Array:
     return pa.StructArray.from_arrays([pa.array(w.sizes.astype(np.int32)), text], ["n_words", "text"])
 
 
+@_in_parts
 def _runs(lists: pa.Array) -> pa.Array:
     k = words_of(lists).kept()
     n, first = len(k.at), _firsts(k.sizes, len(k.at))

@@ -18,12 +18,15 @@ from parchmint.operators.line_kernels import LOW_CONFIDENCE
 PAD = 12
 
 
+def reason(mark: Column) -> Column:
+    return F.when(mark["removed"], "isolated-noise").when(mark["flagged"], "low-confidence")
+
+
 def processed_words(words: Column, marks: Column) -> Column:
     """PROCESSED_WORD for each normalised word: removed as noise between two words, or flagged as doubtful. Other fields stay."""
 
     def one(m: Column) -> Column:
-        reason = F.when(m["removed"], "isolated-noise").when(m["flagged"], "low-confidence")
-        return F.get(words, m["at"]).withField("text", m["text"]).withField("removed", m["removed"]).withField("flagged", m["flagged"]).withField("reason", reason)
+        return F.get(words, m["at"]).withField("text", m["text"]).withField("removed", m["removed"]).withField("flagged", m["flagged"]).withField("reason", reason(m))
 
     return F.transform(marks, one)
 
@@ -76,8 +79,12 @@ def repaired_words(lines: DataFrame, words: str = "words", into: str = "words")
 
 
 def process_lines(lines: DataFrame, words: str = "words", repair: bool = False) -> DataFrame:
-    """Adds text, n_words, processed, runs, metrics and retry_regions to lines that have an ARRAY<word> column."""
-    out = repaired_words(lines, words, "_source") if repair else lines.withColumn("_source", F.coalesce(F.col(words), F.array().cast(lines.schema[words].dataType)))
-    out = out.withColumns({"_marks": line_kernels.marks("_source"), "_texts": line_kernels.texts("_source"), "_runs": line_kernels.runs("_source")})
-    out = out.withColumns({"processed": processed_words(F.col("_source"), F.col("_marks")), "text": F.col("_texts.text"), "n_words": F.col("_texts.n_words"), "runs": text_runs(F.col("_source"), F.col("_runs"))})
-    return out.withColumns({"metrics": line_metrics(F.col("processed")), "retry_regions": retry_regions(F.col("processed"))}).drop("_source", "_marks", "_texts", "_runs")
+    """Adds text, n_words, processed, marks, runs, metrics and retry_regions to lines that have an ARRAY<word> column.
+
+    marks, array<struct<at, text, removed, flagged>>, is what processed has of its own: who needs no more leaves the words in the
+    kernels. These take null as no words.
+    """
+    out = repaired_words(lines, words, "_source") if repair else lines.withColumn("_source", F.col(words))
+    out = out.withColumns({"marks": line_kernels.marks("_source"), "_texts": line_kernels.texts("_source"), "_runs": line_kernels.runs("_source")})
+    out = out.withColumns({"processed": processed_words(F.col("_source"), F.col("marks")), "text": F.col("_texts.text"), "n_words": F.col("_texts.n_words"), "runs": text_runs(F.col("_source"), F.col("_runs"))})
+    return out.withColumns({"metrics": line_metrics(F.col("processed")), "retry_regions": retry_regions(F.col("processed"))}).drop("_source", "_texts", "_runs")

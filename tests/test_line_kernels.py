@@ -1,3 +1,4 @@
+import math
 import random
 import re
 import unicodedata
@@ -8,9 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from parchmint import schemas
+from parchmint.functions import arrow_text as A
 from parchmint.operators import folds
+from parchmint.operators import line_kernels as K
 from parchmint.operators import words as W
-from parchmint.plans import catalog
+from parchmint.plans import catalog, derived
 
 TOKENS = ["a", "x", "7", "night", "(", "“", ")", ",", "%", "p.m.", "é", "​", "", " two  words ", "don’t", "–", "So", "ocial", "wor’", "butIn", "ButIn", None, " ", "|", "l[", "]", "。"]
 ONE, CLOSE, OPEN, MARKS = r"[^\W_]", r"[.,;:!?%…”’)}\]»,;]+", r"[({\[“‘«]+", r"[.,;:!?…'”’\")}\]»]+"
@@ -110,3 +113,39 @@ def test_split_words_are_found_for_all_lines_at_once(monkeypatch):
     monkeypatch.setattr(folds, "word_starts", lambda *a: asked.append(a))
     far = [[{"text": t, "bbox": {"x0": x, "y0": 0.0, "x1": x + 10.0, "y1": 20.0}} for t, x in (("s", 0.0), ("tone", 12.0), ("wall", 90.0))]] * 3
     assert [[run["n"] for run in r] for r in folds._joined_words(pa.array(far, type=kind)).to_pylist()] == [[2, 1]] * 3 and not asked
+
+
+def test_words_of_lines_follow_their_formula_and_stay_in_the_kernels(spark):
+    """The words of ocr_noise_flags went into the JVM and back, and once more through a lambda for each of them."""
+    lines = [(-40, 0, "a  é7 b"), (None, 1, "x yz"), (5, 2, ""), (5, 3, None), (2**40, 4, "x " * 30)]
+    arrays = [pa.array([r[c] for r in lines], type=kind) for c, kind in ((0, pa.int64()), (1, pa.int64()), (2, pa.string()))]
+    base = pa.array([None if d is None else 31 * d + 17 * i for d, i, _ in lines], type=pa.int64())
+    want = []
+    for d, i, t in lines:
+        low, words = i * 24.0 + 20, []
+        for k, w in enumerate(t.split(" ") if t is not None else []):
+            sure = None if d is None else math.fmod(31 * d + 17 * i + 7 * k, 101)
+            tall = 7.0 if len(w) == 1 and d is not None and (d + k) % 3 == 0 else 20.0
+            words.append({"text": w, "confidence": sure, "bbox": {"x0": k * 300.0, "y0": low - tall, "x1": k * 300.0 + 10 * len(w), "y1": low}, "baseline": None})
+        want.append(words)
+    assert derived._words(arrays[0], arrays[1], base, arrays[2]).to_pylist() == want
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = catalog.QUERIES["ocr_noise_flags"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_marks(_words(" in plan and "bbox" not in plan.split("ArrowEvalPython")[0]
+
+
+def test_tokens_that_are_passed_on_are_normal_already():
+    words = pa.array(["stone", "a7", "", " a  b ", "é", "x​y", "–", "Å", None, "p.m.", "\ta"])
+    assert A.normalize_tokens(words).to_pylist() == A.normalize_token(words).to_pylist() == ["stone", "a7", "", "a b", "é", "xy", "-", "Å", None, "p.m.", "a"]
+
+
+def test_kernels_in_parts_find_what_they_find_at_once(monkeypatch):
+    rng, box = random.Random(2), pa.struct([(c, pa.float64()) for c in ("x0", "y0", "x1", "y1")])
+    kind = pa.list_(pa.struct([("text", pa.string()), ("confidence", pa.float64()), ("bbox", box), ("baseline", box)]))
+    names = lambda b: dict(zip(("x0", "y0", "x1", "y1"), b)) if b else None
+    rows = [[{"text": t, "confidence": c, "bbox": names(b), "baseline": names(base)} for t, c, b, base in line_of(rng)] for _ in range(300)]
+    lists = pa.array([None, [], *rows, [], None], type=kind)
+    whole = [f(lists).to_pylist() for f in (K._marks, K._texts, K._runs)]
+    monkeypatch.setattr(K, "PART", 16)
+    assert [f(lists).to_pylist() for f in (K._marks, K._texts, K._runs)] == whole
+    assert [f(lists.slice(0, 0)).to_pylist() for f in (K._marks, K._texts, K._runs)] == [[], [], []]
