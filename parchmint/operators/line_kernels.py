@@ -1,7 +1,7 @@
 """Recognised words of a batch of lines at once: noise, flags, joined text and runs as numpy and Arrow kernels.
 
-They take array<word> as it is and return what they find out about its words: text, marks and places, never the words
-themselves, so that fields they don't know stay with them. Words are told apart once a distinct text. All are marked as not
+They take array<word> as it is and return what they find out about its words: text, marks, places and whole runs, never the
+words themselves, so that fields they don't know stay with them. Words are told apart once a distinct text. All are marked as not
 deterministic, which they are, so that the optimizer neither repeats them in a filter nor moves them into lambdas.
 """
 
@@ -22,6 +22,7 @@ from parchmint.functions import patterns as P
 
 LOW_CONFIDENCE, NOISE_CONFIDENCE, SPECK_CONFIDENCE = 82, 32, 55
 COMPACT, BASELINE, BESIDE = 0.68, 0.8, 0.2
+BOX = pa.struct([(side, pa.float64()) for side in ("x0", "y0", "x1", "y1")])
 PART = 1 << 20  # words that a kernel looks at at once
 
 
@@ -61,6 +62,7 @@ class Words:
 
     sizes: np.ndarray  # words of each line
     at: np.ndarray  # place in the line's own array
+    row: np.ndarray  # place in the batch
     text: pa.Array
     confidence: np.ndarray
     sure: np.ndarray  # has a confidence
@@ -75,7 +77,7 @@ class Words:
         own = ~self.removed
         line = np.repeat(np.arange(len(self.sizes)), self.sizes)[own]
         rest = [x[own] for x in (self.confidence, self.sure, self.removed, self.flagged, self.known, self.closer, self.opener, self.ends_open)]
-        return Words(np.bincount(line, minlength=len(self.sizes)), self.at[own], self.text.filter(pa.array(own)), *rest)
+        return Words(np.bincount(line, minlength=len(self.sizes)), self.at[own], self.row[own], self.text.filter(pa.array(own)), *rest)
 
 
 def _typical(line: np.ndarray, tall: np.ndarray, several: np.ndarray, n: int) -> np.ndarray:
@@ -137,7 +139,7 @@ def words_of(lists: pa.Array) -> Words:
     plain = each(A.matches_of(fresh, marked, P.PUNCTUATION_ONLY)) | removed
     last = pc.utf8_slice_codeunits(fresh, -1)
     return Words(
-        np.bincount(line, minlength=len(sizes)), at, fresh.take(pa.array(code)), confidence, sure, removed, sure & doubtful & ~plain, sure | plain,
+        np.bincount(line, minlength=len(sizes)), at, own, fresh.take(pa.array(code)), confidence, sure, removed, sure & doubtful & ~plain, sure | plain,
         each(A.matches_of(fresh, marked, P.CLOSERS)), each(A.matches_of(fresh, marked, P.OPENERS)), each(A.matches_of(last, marked, P.OPENERS)),
     )
 
@@ -146,6 +148,16 @@ def _lists(sizes: np.ndarray, fields: dict[str, pa.Array]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(A.offsets(sizes)), pa.StructArray.from_arrays(list(fields.values()), list(fields)))
 
 
+def _boxes(lists: pa.Array, rows: np.ndarray) -> pa.Array:
+    """BOX of the batch's words in these places."""
+    box = _field(lists.flatten(), "bbox")
+    if box is None or not pa.types.is_struct(box.type):
+        return pa.nulls(len(rows), BOX)
+    box = box.take(pa.array(rows))
+    sides = [pa.nulls(len(rows), f.type) if (x := _field(box, f.name)) is None else x.cast(f.type) for f in BOX]
+    return pa.StructArray.from_arrays(sides, fields=list(BOX), mask=box.is_null())
+
+
 def _firsts(sizes: np.ndarray, n: int) -> np.ndarray:
     out = np.zeros(n, dtype=bool)
     out[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
@@ -182,8 +194,8 @@ def _runs(lists: pa.Array) -> pa.Array:
     line = np.repeat(np.arange(len(k.sizes)), k.sizes)
     least, sure = (np.fmin.reduceat(np.where(k.sure, k.confidence, np.nan), s), np.logical_or.reduceat(k.sure, s)) if n else (np.zeros(0), np.zeros(0, dtype=bool))
     fields = {
-        "at": pa.array(k.at[s].astype(np.int32)), "text": A.joined(A.spaced(k.text, glued), size),
-        "confidence": pa.array(least, mask=~sure, from_pandas=False), "flagged": pa.array(k.flagged[s], mask=~k.known[s]),
+        "text": A.joined(A.spaced(k.text, glued), size), "confidence": pa.array(least, mask=~sure, from_pandas=False),
+        "flagged": pa.array(k.flagged[s], mask=~k.known[s]), "bbox": _boxes(lists, k.row[s]),
     }
     return _lists(np.bincount(line[s], minlength=len(k.sizes)), fields)
 
@@ -196,5 +208,6 @@ def _struct(**fields: T.DataType) -> T.StructType:
 marks = F.arrow_udf(_marks, T.ArrayType(_struct(at=T.IntegerType(), text=T.StringType(), removed=T.BooleanType(), flagged=T.BooleanType()))).asNondeterministic()
 #: Of array<word> struct<n_words, text>: how many words have text, and the line's text without noise.
 texts = F.arrow_udf(_texts, _struct(n_words=T.IntegerType(), text=T.StringType())).asNondeterministic()
-#: Of array<word> array<struct<at, text, confidence, flagged>>: neighbours without noise that are alike flagged; at: of the first.
-runs = F.arrow_udf(_runs, T.ArrayType(_struct(at=T.IntegerType(), text=T.StringType(), confidence=T.DoubleType(), flagged=T.BooleanType()))).asNondeterministic()
+#: Of array<word> array<RUN>: neighbours without noise that are alike flagged; a run's confidence is its lowest, its box that of its first word.
+_BOX = _struct(**{side.name: T.DoubleType() for side in BOX})
+runs = F.arrow_udf(_runs, T.ArrayType(_struct(text=T.StringType(), confidence=T.DoubleType(), flagged=T.BooleanType(), bbox=_BOX))).asNondeterministic()

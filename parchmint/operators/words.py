@@ -9,8 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parchmint import schemas
-from parchmint.functions.arrays import bounds, empty, runs_of, sorted_by
+from parchmint.functions.arrays import bounds, runs_of, sorted_by
 from parchmint.operators import line_kernels
 from parchmint.operators.folds import joined_words
 from parchmint.operators.line_kernels import LOW_CONFIDENCE
@@ -55,12 +54,6 @@ def retry_regions(processed: Column) -> Column:
     return F.transform(F.filter(processed, lambda w: (w["flagged"] | w["removed"]) & w["bbox"].isNotNull()), region)
 
 
-def text_runs(words: Column, runs: Column) -> Column:
-    """RUN of neighbours that are alike flagged; a run's confidence is its lowest, its box that of its first word."""
-    of = lambda r: F.struct(r["text"].alias("text"), r["confidence"].alias("confidence"), r["flagged"].alias("flagged"), F.get(words, r["at"])["bbox"].alias("bbox"))
-    return F.when(F.size(runs) > 0, F.transform(runs, of)).otherwise(empty(schemas.RUN))
-
-
 def repaired_words(lines: DataFrame, words: str = "words", into: str = "words") -> DataFrame:
     """Adds to lines their words in reading order, single characters joined to the neighbour that they almost touch.
 
@@ -85,6 +78,6 @@ def process_lines(lines: DataFrame, words: str = "words", repair: bool = False)
     kernels. These take null as no words.
     """
     out = repaired_words(lines, words, "_source") if repair else lines.withColumn("_source", F.col(words))
-    out = out.withColumns({"marks": line_kernels.marks("_source"), "_texts": line_kernels.texts("_source"), "_runs": line_kernels.runs("_source")})
-    out = out.withColumns({"processed": processed_words(F.col("_source"), F.col("marks")), "text": F.col("_texts.text"), "n_words": F.col("_texts.n_words"), "runs": text_runs(F.col("_source"), F.col("_runs"))})
-    return out.withColumns({"metrics": line_metrics(F.col("processed")), "retry_regions": retry_regions(F.col("processed"))}).drop("_source", "_texts", "_runs")
+    out = out.withColumns({"marks": line_kernels.marks("_source"), "_texts": line_kernels.texts("_source"), "runs": line_kernels.runs("_source")})
+    out = out.withColumns({"processed": processed_words(F.col("_source"), F.col("marks")), "text": F.col("_texts.text"), "n_words": F.col("_texts.n_words")})
+    return out.withColumns({"metrics": line_metrics(F.col("processed")), "retry_regions": retry_regions(F.col("processed"))}).drop("_source", "_texts")

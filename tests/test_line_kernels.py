@@ -149,3 +149,15 @@ def test_kernels_in_parts_find_what_they_find_at_once(monkeypatch):
     monkeypatch.setattr(K, "PART", 16)
     assert [f(lists).to_pylist() for f in (K._marks, K._texts, K._runs)] == whole
     assert [f(lists.slice(0, 0)).to_pylist() for f in (K._marks, K._texts, K._runs)] == [[], [], []]
+
+
+def test_runs_leave_their_kernel_whole(spark):
+    """text_runs sent all words to the JVM, for the box of each run's first."""
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = catalog.QUERIES["text_runs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "_runs(_words(" in plan and "lambda" not in plan.split("ArrowEvalPython")[0]
+    kind = "array<struct<text:string,confidence:double,bbox:struct<x0:int,y0:int,x1:int,y1:int,page:int>,extra:string>>"
+    rows = [([("", 90.0, (0, 0, 9, 9, 1), "p"), ("a", 90.0, None, "q"), ("b", 20.0, (30, 1, 40, 9, 2), "r"), ("c", 30.0, (50, 1, 60, 9, 3), "s")],), (None,)]
+    got = W.process_lines(spark.createDataFrame(rows, f"words {kind}").coalesce(1)).select("runs")
+    assert got.dtypes == [("runs", f"array<{schemas.RUN}>")]
+    assert [[tuple(x) for x in r.runs] for r in got.collect()] == [[("a", 90.0, False, None), (" b c", 20.0, True, (30.0, 1.0, 40.0, 9.0))], []]
