@@ -6,9 +6,10 @@ shorter context, the symbols that the longer ones have seen. The model is pretra
 of its symbols' under the counts of all training documents, its end included.
 
 Nothing is sampled and no task holds the corpus's trie. Chunks of documents send their distinct words and their
-trie's leaves, with counts, to hash buckets; a bucket has all contexts of its middle bytes, computes probabilities for
-every leaf asked for and answers each chunk in its own order. Only the trie of order 2, at most LOW_KEYS counts whatever the
-input's size, is broadcast. Probabilities are 64-bit numbers throughout; an answer holds its distinct ones and a place for each leaf.
+trie's leaves, with counts, to hash buckets; a bucket has all contexts of its middle bytes and answers each chunk in its own
+order. Only the trie of order 2, at most LOW_KEYS counts whatever the input's size, is broadcast. Probabilities are 64-bit
+numbers throughout. Those of leaves that training texts have are a quotient of two counts, so that the counts are sent; of the
+other leaves, logarithms are. Messages and answers are integers as planes of bytes, leaves as their differences.
 
 Defined results: null and empty texts are their end alone; repeated rows are learned from and scored each; a null doc_id is
 held out (its held_out is null); without training documents N is 0 and the model is uniform; extra columns are ignored.
@@ -81,10 +82,51 @@ def framed(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return data, ends, n
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """By the context's last ORDER - 1 bytes, so that contexts of the two longest orders are whole in a bucket."""
+def steps(codes: np.ndarray) -> np.ndarray:
+    """Differences of codes in order, from 0."""
+    return np.diff(codes, prepend=codes.dtype.type(0))
+
+
+def begins(codes: np.ndarray) -> np.ndarray:
+    """Whether each of the codes, equal ones of which stand together, differs from the one before; the first does."""
+    return np.concatenate([[True], codes[1:] != codes[:-1]])[: len(codes)]
+
+
+def dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the leaves in the order of buckets, the leaves turned in that order, where buckets begin, the buckets).
+
+    A bucket is found by the context's last ORDER - 1 bytes, so that contexts of the two longest orders are whole in it. A
+    turned leaf has these bytes in front, then the context's first byte and the symbol: in order, either context is a run.
+    """
     mid = keys >> np.uint64(8) & np.uint64((1 << 8 * (ORDER - 1)) - 1)
-    return ((mid * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+    bucket = ((mid * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
+    turned = mid << np.uint64(16) | keys >> np.uint64(8 * ORDER) << np.uint64(8) | keys & np.uint64(0xFF)
+    order = np.argsort(bucket << np.uint64(8 * (ORDER + 1)) | turned)
+    bucket = bucket[order]
+    begin = np.flatnonzero(begins(bucket))
+    return order, turned[order], begin, bucket[begin]
+
+
+def packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of unsigned integers, of which most are small, as their planes of bytes, compressed."""
+    parts = [bytes([len(arrays)])]
+    for a in arrays:
+        width = -(-int(a.max(initial=0)).bit_length() // 8)
+        planes = a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+        parts += [struct.pack("<QB", len(a), width), planes.tobytes()]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def unpacked(frame: bytes) -> list[np.ndarray]:
+    raw, at, out = zstandard.ZstdDecompressor().decompress(frame), 1, []
+    for _ in range(raw[0]):
+        n, width = struct.unpack_from("<QB", raw, at)
+        at += 9
+        whole = np.zeros((n, 8), dtype=np.uint8)
+        whole[:, :width] = np.frombuffer(raw, dtype=np.uint8, count=n * width, offset=at).reshape(width, n).T
+        out.append(whole.view("<u8").ravel())
+        at += n * width
+    return out
 
 
 def leaves_of(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -119,15 +161,19 @@ def sent(chunk: Chunk, buckets: int) -> Iterator[tuple]:
     """What a chunk sends to the buckets: its words, its leaves and its counts of order 2."""
     counts, _ = words_of(chunk)
     for b, words in word_buckets(counts, buckets).items():
-        yield WORDS, b, chunk.id, b" ".join(words), np.array([counts[w] for w in words], dtype=np.int64).tobytes()
+        yield WORDS, b, chunk.id, zstandard.ZstdCompressor(level=1).compress(b" ".join(words)), packed(np.array([counts[w] for w in words]))
     keys, leaf, _, learn = leaves_of(chunk)
     n = np.bincount(leaf[learn], minlength=len(keys))
+    order, turned, begin, bs = dealt(keys, buckets)
+    for b, ks, ns in zip(bs.tolist(), np.split(turned, begin[1:]), np.split(n[order], begin[1:])):
+        yield LEAVES, b, chunk.id, packed(steps(ks)), packed(ns)
     low, place = np.unique(keys & np.uint64(0xFFFFFF), return_inverse=True)
     low_n = np.bincount(place, weights=n, minlength=len(low)).astype(np.int64)
-    for kind, ks, ns, bs in ((LEAVES, keys, n, bucket_of(keys, buckets)), (LOW, low[low_n > 0], low_n[low_n > 0], low[low_n > 0] % np.uint64(buckets))):
-        order = np.argsort(bs, kind="stable")
-        for run in np.split(order, np.flatnonzero(np.diff(bs[order])) + 1) if len(order) else []:
-            yield kind, int(bs[run[0]]), chunk.id, ks[run].astype("<u8").tobytes(), ns[run].astype("<u4").tobytes()
+    low, low_n = low[low_n > 0], low_n[low_n > 0]
+    bs = low % np.uint64(buckets)
+    order = np.argsort(bs, kind="stable")
+    for run in np.split(order, np.flatnonzero(np.diff(bs[order])) + 1) if len(order) else []:
+        yield LOW, int(bs[run[0]]), chunk.id, packed(steps(low[run])), packed(low_n[run])
 
 
 class Low:
@@ -180,65 +226,62 @@ def _back_off(out: np.ndarray, open_: np.ndarray, c: np.ndarray, total: np.ndarr
     open_ &= c == 0
 
 
-def leaf_log_p(keys: np.ndarray, n: np.ndarray, low: Low) -> np.ndarray:
-    """log10 probabilities of distinct leaves (all of their contexts' leaves among them) with training counts n."""
-    keys = keys.astype(np.int64)
-    _, c4 = np.unique(keys >> 8, return_inverse=True)
-    k3, three = np.unique(keys & 0xFFFFFFFF, return_inverse=True)  # context of order 3 and symbol
+def leaf_codes(turned: np.ndarray, n: np.ndarray, low: Low) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct turned leaves in order (all of their contexts' leaves among them) with training counts n:
+    (their contexts' counts and distinct symbols of order ORDER, log10 probabilities of those without a count, 0 of others)."""
+    turned = turned.astype(np.int64)
+    c4, mid = np.cumsum(begins(turned >> 8)) - 1, turned >> 16
+    k3, three = np.unique(mid << 8 | turned & 0xFF, return_inverse=True)  # context of order 3 and symbol
     n3 = np.bincount(three, weights=n, minlength=len(k3))
-    _, c3 = np.unique(k3 >> 8, return_inverse=True)
+    c3 = np.cumsum(begins(k3 >> 8)) - 1
     total4, distinct4 = np.bincount(c4, weights=n), np.bincount(c4, weights=n > 0)
     total3, distinct3 = np.bincount(c3, weights=n3), np.bincount(c3, weights=n3 > 0)
     gone3 = np.bincount(c4, weights=np.where(n > 0, n3[three], 0))
     gone2 = np.bincount(c3, weights=np.where(n3 > 0, low.count(2, k3 & 0xFFFFFF), 0))
-    out, open_ = np.zeros(len(keys)), np.ones(len(keys), dtype=bool)
-    _back_off(out, open_, n, total4[c4], distinct4[c4])
-    of3 = c3[three]
-    _back_off(out, open_, n3[three], total3[of3] - gone3[c4], distinct3[of3] - distinct4[c4])
-    out[open_] += low.log_p(keys[open_] & 0xFFFFFF, gone2[of3][open_], distinct3[of3][open_])
-    return out
-
-
-def _summed(rows: pa.Table, distinct: np.ndarray, place: np.ndarray, kind: str) -> np.ndarray:
-    counts = np.concatenate([np.frombuffer(x, dtype=kind) for x in rows.column("counts").to_pylist()])
+    new, out = n == 0, np.zeros(len(n))
+    of4, of, key = c4[new], three[new], (mid << 8 | turned & 0xFF)[new] & 0xFFFFFF
+    p, open_, of3 = np.zeros(len(key)), np.ones(len(key), dtype=bool), c3[of]
+    _back_off(p, open_, n[new], total4[of4], distinct4[of4])
+    _back_off(p, open_, n3[of], total3[of3] - gone3[of4], distinct3[of3] - distinct4[of4])
+    p[open_] += low.log_p(key[open_], gone2[of3][open_], distinct3[of3][open_])
+    out[new] = p
+    return (total4 + distinct4)[c4].astype(np.int64), out
+
+
+def _summed(rows: pa.Table, distinct: np.ndarray, place: np.ndarray) -> np.ndarray:
+    counts = np.concatenate([unpacked(x)[0] for x in rows.column("counts").to_pylist()])
     return np.bincount(place, weights=counts, minlength=len(distinct)).astype(np.int64)
 
 
-def coded(values: np.ndarray, place: np.ndarray) -> bytes:
-    """values[place], of which few are distinct, as the distinct ones and a place for each."""
-    used, place = numbered(place, len(values))
-    distinct = values[used]
-    wide = "<u2" if len(distinct) <= 1 << 16 else "<u4"
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack("<II", len(distinct), int(wide[2])) + distinct.astype("<f8").tobytes() + place.astype(wide).tobytes())
-
-
-def decoded(answer: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(answer)
-    n, wide = struct.unpack_from("<II", raw)
-    return np.frombuffer(raw, dtype="<f8", count=n, offset=8)[np.frombuffer(raw, dtype=f"<u{wide}", offset=8 + 8 * n)]
+def _keys(rows: pa.Table) -> list[np.ndarray]:
+    return [np.cumsum(unpacked(x)[0]) for x in rows.column("keys").to_pylist()]
 
 
 def answers(low: Broadcast):
-    """For a bucket: each chunk's words' global counts, or its leaves' log10 probabilities, in the chunk's order."""
+    """For a bucket: each chunk's words' global counts, or its leaves' counts, the wholes of its contexts and the log10
+    probabilities of leaves without a count, in the chunk's order."""
     names = ["kind", "bucket", "chunk", "answer", "n_tokens", "n_distinct"]
 
     def run(rows: pa.Table) -> pa.Table:
         kind, bucket, m = rows.column("kind")[0].as_py(), rows.column("bucket")[0].as_py(), rows.num_rows
         tokens = distinct = 0
         if kind == WORDS:
-            lists = [x.split(b" ") for x in rows.column("keys").to_pylist()]
+            lists = [zstandard.ZstdDecompressor().decompress(x).split(b" ") for x in rows.column("keys").to_pylist()]
             total: dict[bytes, int] = {}
             for words, c in zip(lists, rows.column("counts").to_pylist()):
-                for w, n in zip(words, np.frombuffer(c, dtype="<i8").tolist()):
+                for w, n in zip(words, unpacked(c)[0].tolist()):
                     total[w] = total.get(w, 0) + n
             tokens, distinct = sum(total.values()), sum(n > 0 for n in total.values())
-            out = [np.array([total[w] for w in words], dtype="<i8").tobytes() for words in lists]
+            out = [packed(np.array([total[w] for w in words])) for words in lists]
         else:
-            keys = [np.frombuffer(x, dtype="<u8") for x in rows.column("keys").to_pylist()]
+            keys = _keys(rows)
             ks, place = np.unique(np.concatenate(keys), return_inverse=True)
-            p = leaf_log_p(ks, _summed(rows, ks, place, "<u4"), low.value)
-            values, of = np.unique(p, return_inverse=True)
-            out = [coded(values, x) for x in np.split(of[place], np.cumsum([len(k) for k in keys])[:-1])]
+            counts = _summed(rows, ks, place)
+            whole, p = leaf_codes(ks, counts, low.value)
+            out = []
+            for own, at in zip(keys, np.split(place, np.cumsum([len(k) for k in keys])[:-1])):
+                n = counts[at]
+                out.append(packed(n, whole[at[begins(own >> np.uint64(8))]], p[at[n == 0]].view("<u8")))
         zeros = [0] * (m - 1)
         cols = ([kind] * m, [bucket] * m, rows.column("chunk").to_pylist(), out, [tokens, *zeros], [distinct, *zeros])
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
@@ -248,8 +291,8 @@ def answers(low: Broadcast):
 
 
 def _low(rows: pa.Table) -> pa.Table:
-    keys, place = np.unique(np.concatenate([np.frombuffer(x, dtype="<u8") for x in rows.column("keys").to_pylist()]), return_inverse=True)
-    n = _summed(rows, keys, place, "<u4")
+    keys, place = np.unique(np.concatenate(_keys(rows)), return_inverse=True)
+    n = _summed(rows, keys, place)
     return pa.table([pa.array([keys.astype("<i4").tobytes()]), pa.array([n.astype("<i8").tobytes()])], names=["keys", "counts"])
 
 
@@ -259,13 +302,16 @@ def scored(chunk: Chunk, got: dict[tuple[int, int], bytes], buckets: int, n_toke
     index, known = {}, []
     for b, ws in word_buckets(words, buckets).items():
         index |= zip(ws, range(len(index), len(index) + len(ws)))
-        known.append(np.frombuffer(got[WORDS, b], dtype="<i8"))
+        known += unpacked(got[WORDS, b])
     c = np.concatenate([*known, [n_docs]]).astype(np.float64)
     log = np.log10((c + ADD) / (n_tokens + ADD * (n_distinct + 1)))
     keys, leaf, n, _ = leaves_of(chunk)
-    bs, p = bucket_of(keys, buckets), np.empty(len(keys))
-    for b in np.unique(bs):
-        p[bs == b] = decoded(got[LEAVES, int(b)])
+    order, turned, _, bs = dealt(keys, buckets)
+    count, whole, rest = (np.concatenate(x) for x in zip(*(unpacked(got[LEAVES, b]) for b in bs.tolist())))
+    whole = whole[np.cumsum(begins(turned >> np.uint64(8))) - 1]
+    p, has = np.empty(len(keys)), count > 0
+    p[order[has]] = np.log10(count[has] / whole[has])
+    p[order[~has]] = rest.view("<f8")
     score = np.add.reduceat(p[leaf], np.cumsum(n) - n)
     for k, (d, w) in enumerate(zip(chunk.doc_ids, texts)):
         at = np.array([*map(index.__getitem__, w), len(c) - 1])

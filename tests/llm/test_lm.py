@@ -3,6 +3,8 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
 
@@ -74,3 +76,28 @@ def test_wide_tries_are_numbered_alike(monkeypatch):
     again = L.trie(data, ends)
     assert np.array_equal(keys, again[0]) and np.array_equal(leaf, again[1])
     assert [int(k).to_bytes(5, "big") for k in keys[leaf]] == [data[i - 4 : i + 1].tobytes() for i in ends]
+
+
+def test_messages_and_answers_are_smaller_than_the_texts(spark, docs, monkeypatch):
+    made, size = L.materialize, {}
+
+    def measured(df, name, *args):
+        out = made(df, name, *args)
+        size[name] = sum(Path(urlparse(f).path).stat().st_size for f in out.inputFiles())
+        return out
+
+    monkeypatch.setattr(L, "materialize", measured)
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeiou") + rng.choice("bcdfghklmnprstvwz") for _ in range(rng.randint(1, 5))) for _ in range(20000)]
+    rows = [(i, " ".join(words[int(20000 * rng.random() ** 3)] for _ in range(1000))) for i in range(200)]
+    assert L.score_documents(docs(rows).coalesce(2)).count() == len(rows)
+    text = sum(len(t) for _, t in rows)
+    assert sorted(size) == ["answers", "counts"] and 10 * size["counts"] < 4 * text and 10 * size["answers"] < 2 * text
+
+
+@pytest.mark.parametrize("values", [[], [0, 0], [1, 255, 256, 7], [2**64 - 1, 0, 3]])
+def test_integers_come_back_from_their_planes(values):
+    import numpy as np
+
+    got = L.unpacked(L.packed(np.array(values, dtype=np.uint64), np.array([5])))
+    assert [a.tolist() for a in got] == [values, [5]]
